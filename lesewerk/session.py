@@ -41,3 +41,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="lesewerk-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package: by path where they share the driver's files, as a zip elsewhere."""
+    import os
+    import shutil
+    import tempfile
+
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in known:
+        return spark
+    context.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    if not context.master.startswith("local"):
+        name = os.path.join(tempfile.mkdtemp(prefix="lesewerk-"), "lesewerk")  # on the driver; Spark hands it out
+        context.addPyFile(shutil.make_archive(name, "zip", root, "lesewerk"))
+    return spark
