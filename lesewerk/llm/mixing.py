@@ -9,9 +9,10 @@ By default the total is the largest at which no source falls short, so every sou
 shares of sources that don't occur are spread over the others in proportion, and reported as 0. With a larger total the
 short sources are redistributed as above, and the report shows it.
 
-A leaf's prefix ends at the document whose middle passes the budget: documents stay whole, and a leaf is off by half a
-document at most. Documents without tokens and those of unweighted sources are left out; rows of one document count once.
-Spelling of sources and languages is folded. Nothing depends on the order of rows or partitions.
+A leaf's prefix is one of tokens: its last document is used up to the token that fills the budget (``tokens_used``), so the
+reached shares are off by less than a token for each leaf. Documents without tokens and those of unweighted sources are left
+out; rows of one document count once. Spelling of sources and languages is folded. Nothing depends on the order of rows or
+partitions.
 """
 
 from __future__ import annotations
@@ -98,8 +99,8 @@ def counted_documents(documents: DataFrame, weights: dict[str, tuple[float, int]
 
 
 def mix(documents: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 17, ranks_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mixture, report). The mixture has a row (doc_id, source, lang, n_tokens, epoch, place) for each use of a document, ``place``
-    being its seeded place in the epoch; the report a row for each weighted source with target and reached share."""
+    """(mixture, report). The mixture has a row (doc_id, source, lang, n_tokens, epoch, tokens_used, place) for each use of a
+    document, ``place`` being its seeded place in the epoch; the report a row for each weighted source with target and reached share."""
     spark = documents.sparkSession
     by_source = weight_rows(weights)
     counted = counted_documents(documents, by_source, ranks_path)
@@ -109,19 +110,22 @@ def mix(documents: DataFrame, weights: DataFrame, total: float | None = None, se
     for top in root.children:
         for leaf in top.children:
             epochs = min(int(leaf.budget // leaf.tokens), leaf.repeats)
-            rows.append((*leaf.name, epochs, float(leaf.budget - epochs * leaf.tokens) if epochs < leaf.repeats else 0.0))
-    budgets = spark.createDataFrame(rows, "source string, lang string, epochs int, rest double")
+            rows.append((*leaf.name, epochs, int(leaf.budget - epochs * leaf.tokens + 0.5) if epochs < leaf.repeats else 0))
+    budgets = spark.createDataFrame(rows, "source string, lang string, epochs int, rest bigint")
     docs = counted.join(budgets, ["source", "lang"]).withColumn("h", F.xxhash64(F.lit(seed), F.col("epochs") + 1, "doc_id"))
     docs = docs.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     sums = docs.groupBy("source", "lang", "bucket").agg(F.sum("n_tokens").alias("here"))
     before = sums.select("source", "lang", "bucket", F.coalesce(F.sum("here").over(Window.partitionBy("source", "lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = Window.partitionBy("source", "lang", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = docs.withColumn("upto", F.sum("n_tokens").over(within)).join(before, ["source", "lang", "bucket"])
-    middle = F.col("before") + F.col("upto") - F.col("n_tokens") / 2
-    uses = placed.withColumn("uses", F.col("epochs") + F.when(middle <= F.col("rest"), 1).otherwise(0)).where("uses > 0")
-    mixture = uses.select("doc_id", "source", "lang", "n_tokens", F.explode(F.sequence(F.lit(1), "uses")).alias("epoch")).withColumn("place", F.xxhash64(F.lit(seed), "epoch", "doc_id"))
+    part = F.greatest(F.least(F.col("rest") - F.col("before") - F.col("upto") + F.col("n_tokens"), F.col("n_tokens")), F.lit(0))
+    uses = placed.withColumn("part", part).withColumn("uses", F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)).where("uses > 0")
+    mixture = uses.select("doc_id", "source", "lang", "n_tokens", F.explode(F.sequence(F.lit(1), "uses")).alias("epoch"), "epochs", "part").select(
+        "doc_id", "source", "lang", "n_tokens", "epoch", F.when(F.col("epoch") > F.col("epochs"), F.col("part")).otherwise(F.col("n_tokens")).alias("tokens_used"),
+        F.xxhash64(F.lit(seed), "epoch", "doc_id").alias("place"),
+    )
     targets = spark.createDataFrame([(s, w, r) for s, (w, r) in by_source.items()], "source string, target_share double, max_repeats int")
-    reached = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
+    reached = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("epochs") + F.col("part")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
     report = targets.join(reached, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
     share = F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0)), F.lit(0.0))
