@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +124,7 @@ def worker_encoder(data: bytes) -> Encoder:
 def _slices(batch: pa.RecordBatch, i: int) -> Iterator[tuple[int, int, list]]:
     """Runs of rows of a bounded amount of text, so that one batch of long texts doesn't hold all its ids twice."""
     column, start, size = batch.column(i), 0, 0
-    for stop, n in enumerate(pa.compute.binary_length(column).to_pylist(), 1):
+    for stop, n in enumerate(pc.binary_length(column).to_pylist(), 1):
         size += n or 0
         if size >= SLICE or stop == len(column):
             yield start, stop, column.slice(start, stop - start).to_pylist()

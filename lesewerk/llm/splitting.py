@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def split_oversized(items: DataFrame, limits: DataFrame, fill: float = 0.5, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sizes = np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(whole.column(2)), 0).to_numpy())
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(whole.column(2)), 0).to_numpy())
             stops = np.searchsorted(sizes, np.arange(SLICE, sizes[-1] + SLICE, SLICE)) + 1 if len(sizes) else []
             begin = 0
             for stop in dict.fromkeys(min(int(s), whole.num_rows) for s in stops):
