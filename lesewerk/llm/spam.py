@@ -64,7 +64,7 @@ _PLAIN_WORD, _MARK = re.compile(r"[^\W\d_]+"), re.compile("[\u0300-\u036f\u064b-
 _LINE = re.compile(r"\n+|\t|\s\+\+\+\s")
 _SENTENCE = re.compile(r"[.!?…।؟。！？]+")
 _SEPARATOR = re.compile(r"[|;•·>/*★☆+=#~]|,(?=\s)|\s[-–]\s")
-_PROSE_END = re.compile(r"[.!?…।؟。！？][\"”“»«›‹’')」』\]]*\s*$")
+_ENDS, _CLOSERS = ".!?…।؟。！？", "\"”“»«›‹’')」』] \r\x0b\x0c\u00a0\u202f"
 _PRODUCT = re.compile(r"\d+[.,]\d{2}\s?(?:€|\$|£|¥|eur\b|usd\b)|[€$£¥]\s?\d+(?:[.,]\d{2})?|art\.-nr\.|★+☆*|(?<!\w)#\w+")
 _MARKED = re.compile(r"[€$£¥★#]|art\.-nr|eur\b|usd\b")
 _ENTRY = re.compile(r"\s*(?:\d+[.):]?\s+.*\d\s*$|\[?\d{1,3}\]?[.):]?\s+\S|.*\.{3,}\s*\d+\s*$|.*\d{1,2}:\d{2}\s*$|[^\s:,|][^:,|]{0,28}:\s+\S|\S.{0,40}\s(?:→|->|=>)\s)")
@@ -75,6 +75,10 @@ _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 LANGUAGES = ("de", "en", "fr", "es", "it", "ru", "ar", "hi", "ja", "zh", "th", "other")
 
 
+#: No threshold of function words lies above this share: LOW times a median of at most 1.
+MOST_LOW = 0.45
+
+
 def _language(words: Counter) -> str:
     """The language whose function words make up most of a text; by script where that is enough."""
     unspaced = [w for w in words if w >= "฀" and _UNSPACED.match(w)]
@@ -140,9 +144,9 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
             if (key := tuple(words)) not in seen:
                 seen.add(key)
                 fresh.append(words)
-    language = _language(Counter(chain.from_iterable(chain.from_iterable(line_sentences))))
-    known = _SETS.get(language, frozenset())
     singles = Counter(chain.from_iterable(fresh))
+    language = _language(singles)
+    known = _SETS.get(language, frozenset())
     pairs = Counter(chain.from_iterable(zip(words, words[1:]) for words in fresh))
     for w in known & singles.keys():
         del singles[w]
@@ -166,9 +170,15 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
             elif known:
                 function = sum(map(known.__contains__, chain.from_iterable(sentences))) / n
         size = len(x[0].strip()) + x[1]
-        marks = len(_PRODUCT.findall(x[0])) if _MARKED.search(x[0]) else 0
         d = max(1, n)
-        rows.append((size, x[1] / size, function, hits / d, many / d, len(_SEPARATOR.findall(x[0])) / d, marks / d, n, repeated, bool(_ENTRY.match(x[0])) and not x[1], bool(_PROSE_END.search(x[0]))))
+        if function > MOST_LOW:  # the marks of lists are asked for in lines without function words alone
+            rows.append((size, x[1] / size, function, hits / d, many / d, 0.0, 0.0, n, repeated, False, True))
+        else:
+            marks = len(_PRODUCT.findall(x[0])) if _MARKED.search(x[0]) else 0
+            rows.append((
+                size, x[1] / size, function, hits / d, many / d, len(_SEPARATOR.findall(x[0])) / d, marks / d, n, repeated,
+                not x[1] and _ENTRY.match(x[0]) is not None, (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS,
+            ))
         all_hits, all_often, count = all_hits + hits, all_often + many, count + n
     return language, all_hits / max(1, count), all_often / max(1, count), rows
 
@@ -219,7 +229,7 @@ def calibrate(pages: DataFrame) -> dict[str, dict[str, float]]:
 
 
 #: Factor of a language's median share of function words below which a line lacks them; margins over the 90 % shares.
-LOW, MARGIN_PAIRS, MARGIN_OFTEN = 0.45, 0.15, 0.15
+LOW, MARGIN_PAIRS, MARGIN_OFTEN = MOST_LOW, 0.15, 0.15
 LEAST_PAIRS, LEAST_OFTEN, LEAST_OFTEN_GLUED, LEAST_WORDS = 0.2, 0.3, 0.6, 8
 
 
