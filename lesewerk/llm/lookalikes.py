@@ -167,7 +167,7 @@ def count_bigrams(df: DataFrame, *texts: str) -> dict[tuple[int, int], int]:
         for batch in batches:
             for column in batch.columns:
                 for start in range(0, len(column), 2000):
-                    s = "\n".join(x for x in column.slice(start, 2000).to_pylist() if x)
+                    s = "\n" + "\n".join(x for x in column.slice(start, 2000).to_pylist() if x)
                     points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4")
                     codes = letter[np.minimum(points, LETTERS)]
                     total += np.bincount(codes[:-1] * LETTERS + codes[1:], minlength=LETTERS * LETTERS) if len(codes) > 1 else 0

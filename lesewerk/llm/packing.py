@@ -100,11 +100,10 @@ def pack(items: DataFrame, group: str, item: str, size: str, capacity: str, sour
     Two items of one source, or of one cluster, never share a bin. A group of more than ``block_classes`` classes is packed
     in blocks of that many, clusters kept together; each block can leave a few bins that another could have filled further.
     """
-    conflict = lambda name: F.xxhash64(name) if name else F.lit(None).cast("bigint")
-    conflict = (lambda f: lambda name: F.when(F.col(name).isNotNull(), f(name)) if name else f(name))(conflict)
+    conflict = lambda name: F.when(F.col(name).isNotNull(), F.xxhash64(name)) if name else F.lit(None).cast("bigint")
     base = items.select(
         F.col(group).alias("g"), F.col(item).alias("i"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("len"),
-        F.greatest(F.col(capacity).cast("bigint"), F.lit(1)).alias("cap"), conflict(source).alias("src"), conflict(cluster).alias("clu"),
+        F.when(F.col(capacity).isNotNull(), F.greatest(F.col(capacity).cast("bigint"), F.lit(1))).alias("cap"), conflict(source).alias("src"), conflict(cluster).alias("clu"),
     ).where("g is not null and i is not null and cap is not null")
     parts = base.select("*", F.posexplode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("len") / F.col("cap")) - 1, F.lit(0)))).alias("part_no", "_")).select(
         "g", "i", "part_no", "cap", "src", "clu", (F.col("part_no") * F.col("cap")).alias("part_start"),

@@ -54,7 +54,8 @@ def boundaries(text: str, room: int) -> tuple[np.ndarray, np.ndarray]:
         kind[m.end()] = 0
     n = len(text)
     kind.pop(0, None)
-    kind[n] = 0
+    if n:
+        kind[n] = 0
     out, last = [(0, 0)], 0
     for p in sorted(kind):
         while p - last > room:
