@@ -37,9 +37,9 @@ from lesewerk.session import ensure_checkpoint_dir
 # Common function words by language.
 FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einen einem einer und oder aber nicht nur noch mit von vom zu zum zur in im an am auf aus bei nach vor über unter als wie wenn dass ist war sind hat habe es er sie ich man sich auch so was wer wo dann doch mehr kein keine durch um bis ohne gegen wurde weil ob neben zwischen bevor nachdem sobald damit während früher dort danach trotz seit jedes kaum hieß",
-    "en": "the a an and or but not of to in on at by for with from as is was are were be been it he she they i you we that this there had has have when who what so all his her its who said only more than or no near behind why nobody before after",
-    "fr": "le la les l un une des de du d et ou mais ne pas que qui en au aux à dans sur pour par avec sans est était sont ce cette il elle on je vous nous se s y dit soit plus puis là près vers personne pourquoi après",
-    "es": "el la los las un una de del y o pero no que en a al por para con sin es era son se lo le su sus yo como más hasta había allí esta este dijo qué después junto nada siempre",
+    "en": "the a an and or but not of to in on at by for with from as is was are were be been it he she they i you we that this there had has have when who what so all his her its who said only more than or no near behind why nobody before after if out up about them some would which",
+    "fr": "le la les l un une des de du d et ou mais ne pas que qui en au aux à dans sur pour par avec sans est était sont ce cette il elle on je vous nous se s y dit soit plus puis là près vers personne pourquoi après comme si tout leur même quand où",
+    "es": "el la los las un una de del y o pero no que en a al por para con sin es era son se lo le su sus yo como más hasta había allí esta este dijo qué después junto nada siempre si cuando porque donde muy",
     "it": "il lo la i gli le un una di del della e o ma non che in a al per con senza è era sono si come più questo",
     "ru": "и в во не на что он она они я с со как а то все был была было у из к за от по для но здесь там где без после",
     "ar": "في من على إلى عن ثم هل أين ما لا يا و أن هذا هذه كان له قرب بعد قال",
@@ -248,7 +248,8 @@ def junk_share(limits: dict[str, dict[str, float]]) -> Column:
 
     total = F.greatest(_sum("lines", lambda x: x["size"].cast("double")), F.lit(1.0))
     lines = _sum("lines", lambda x: F.when(is_junk(x), x["size"].cast("double")).otherwise(0.0)) / total
-    strewn = (words >= LEAST_WORDS) & ((F.col("pairs") >= of("pairs")) | (F.col("often") >= of("often")))
+    listed = _sum("lines", lambda x: F.when(x["entry"] & (x["pairs"] < 0.5), x["size"].cast("double")).otherwise(0.0)) / total
+    strewn = (words >= LEAST_WORDS) & ((F.col("pairs") >= of("pairs")) | ((F.col("often") >= of("often")) & (listed < 0.5)))
     return F.when(strewn, F.greatest(lines, F.lit(1.0))).otherwise(lines)
 
 
