@@ -67,7 +67,7 @@ _SEPARATOR = re.compile(r"[|;•·>/*★☆+=#~]|,(?=\s)|\s[-–]\s")
 _ENDS, _CLOSERS = ".!?…।؟。！？", "\"”“»«›‹’')」』] \r\x0b\x0c\u00a0\u202f"
 _PRODUCT = re.compile(r"\d+[.,]\d{2}\s?(?:€|\$|£|¥|eur\b|usd\b)|[€$£¥]\s?\d+(?:[.,]\d{2})?|art\.-nr\.|★+☆*|(?<!\w)#\w+")
 _MARKED = re.compile(r"[€$£¥★#]|art\.-nr|eur\b|usd\b")
-_ENTRY = re.compile(r"\s*(?:\d+[.):]?\s+.*\d\s*$|\[?\d{1,3}\]?[.):]?\s+\S|.*\.{3,}\s*\d+\s*$|.*\d{1,2}:\d{2}\s*$|[^\s:,|][^:,|]{0,28}:\s+\S|\S.{0,40}\s(?:→|->|=>)\s)")
+_ENTRY = re.compile(r"\s*(?:\d+[.):]?\s+.*\d\s*$|\[?\d{1,3}\]?[.):]?\s+\S|.*\.{3,}\s*\d+\s*$|.*\d{1,2}:\d{2}\s*$|[^\s:,|][^:,|]{0,28}:\s+[^|;,#]{1,60}$|\S.{0,40}\s(?:→|->|=>)\s)")
 #: A speaker, role or label before a line's text.
 _LABEL = re.compile(r"\s*(?:\[[^\]]{1,30}\]|[^\s:,|][^:,|]{0,28}:)\s+(?=\S)")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
@@ -236,13 +236,19 @@ LEAST_PAIRS, LEAST_OFTEN, LEAST_OFTEN_GLUED, LEAST_WORDS = 0.2, 0.3, 0.6, 8
 def junk_share(limits: dict[str, dict[str, float]]) -> Column:
     """Share of junk in a page of ``measure_pages``, by the thresholds of its language."""
     of = lambda name: F.coalesce(F.create_map(*[F.lit(x) for lang, t in sorted(limits.items()) for x in (lang, t[name])])[F.col("language")], F.lit(limits["other"][name]))
-    low, other = of("low"), F.col("language") == "other"
+    low = of("low")
     words = F.aggregate("lines", F.lit(0), lambda a, x: a + x["words"])
+    # a text that as a whole has next to no function words: captions and keywords, a stray word may fit some language
+    bare = (F.col("language") == "other") | (_sum("lines", lambda x: x["fun"] * x["words"]) / F.greatest(words, F.lit(1)) < low / 2)
+
+    # a line needs no less than a whole text of its language
+    line_often = F.when(F.col("language") == "other", 0.35).otherwise(F.greatest(F.lit(0.35), of("often")))
+    line_pairs = F.when(F.col("language") == "other", 0.3).otherwise(F.greatest(F.lit(0.3), of("pairs")))
 
     def is_junk(x: Column) -> Column:
         lacks = x["fun"] < low
-        recurs = (x["often"] >= 0.35) | (x["pairs"] >= 0.3) | x["again"]
-        listed = ~x["ended"] & ((x["seps"] >= 0.25) & (x["often"] > 0) | other | ((x["words"] >= 12) & (x["fun"] < low / 3)))
+        recurs = (x["often"] >= line_often) | (x["pairs"] >= line_pairs)
+        listed = ~x["ended"] & ((x["seps"] >= 0.25) & (x["often"] > 0) | x["again"] | bare | ((x["words"] >= 12) & (x["fun"] < low / 3)))
         worded = (words >= LEAST_WORDS) & lacks & ((x["marks"] >= 0.08) | (~(x["entry"] & (x["pairs"] < 0.5)) & (recurs | listed)))
         return (x["link"] >= 0.5) | worded
 
