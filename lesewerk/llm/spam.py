@@ -239,7 +239,7 @@ def junk_share(limits: dict[str, dict[str, float]]) -> Column:
     low = of("low")
     words = F.aggregate("lines", F.lit(0), lambda a, x: a + x["words"])
     # a text that as a whole has next to no function words: captions and keywords, a stray word may fit some language
-    bare = (F.col("language") == "other") | (_sum("lines", lambda x: x["fun"] * x["words"]) / F.greatest(words, F.lit(1)) < low / 2)
+    bare = (F.col("language") == "other") | (_sum("lines", lambda x: x["fun"] * x["words"]) / F.greatest(words, F.lit(1)) < low / 2) & (words >= 12)
 
     # a line needs no less than a whole text of its language
     line_often = F.when(F.col("language") == "other", 0.35).otherwise(F.greatest(F.lit(0.35), of("often")))
