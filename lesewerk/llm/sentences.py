@@ -12,6 +12,7 @@ looked through; at a unit's end they belong to that unit. A heading is one unit
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ NUMBERED = frozenset("nr nrn no nos art abs abb bd bde kap tab fig vol ch sec st
 #: Written with inner points, and may end a sentence.
 DOTTED_END = frozenset("p.m a.m u.a u.ä u.ae u.v.m u.a.m u.s.w u.dgl i.d.r n.chr v.chr u.s u.k d.c j.-c т.д т.п".split())
 #: The same written with spaces, as the end of the text before a point.
-SPACED_END = re.compile(r"(?:^|\s)(?:u\. [aä]|u\. ?a\. ?m|u\. ?s\. ?w|u\. ?v\. ?m|i\. ?d\. ?R|n\. ?Chr|v\. ?Chr|v\. ?H|J\. ?-C|[тТ]\. ?[дп]|p\. ?m|a\. ?m)$", re.IGNORECASE)
+SPACED_END = re.compile(r"(?:^|\s)(?:u\. [aäÄ]|u\. ?a\. ?m|u\. ?s\. ?w|u\. ?v\. ?m|i\. ?d\. ?R|n\. ?Chr|v\. ?Chr|v\. ?H|J\. ?-C|т\. ?[дп]|p\. ?m|a\. ?m)$")
 #: A single capital or a number after one of these is a name, not an initial or an ordinal.
 LABELS = frozenset("plan klasse raum typ punkt gruppe gleis block stufe saal modell version vitamin skala teil zone halle reihe tor haus station note variante option team room class type group level jahr genau seite zimmer kapitel nummer".split())
 #: Words before an ordinal number.
@@ -89,7 +90,8 @@ def _stays(p: str, dot: int, after: int, start: int) -> bool:
     if not word:
         return False
     if not word.isascii():
-        word = word.translate(LOOKALIKE) if word.translate(LOOKALIKE).isascii() else word
+        word = unicodedata.normalize("NFKC", word)
+        word = latin if (latin := word.translate(LOOKALIKE)).isascii() else word
     low, nxt = word.lower(), p[after]
     if low[-1].isdigit():
         if not low.isdigit():
@@ -106,15 +108,15 @@ def _stays(p: str, dot: int, after: int, start: int) -> bool:
     if len(word) == 1:
         if not word.isalpha():
             return False
-        if SPACED_END.search(p, max(0, dot - 12), dot):
+        if SPACED_END.search(p, max(0, dot - 12), dot) or word.lower() == "ä" and _word_before(p, s - 1) == "u.":
             return False
-        before = _word_before(p, s - 1).strip("\"„“”»«›‹‚‘’'([{.")
+        before = _word_before(p, s - 1).strip("\"„“”»«›‹‚‘’'([{") if s > start else ""
         if word.isupper():
             return before.lower() not in LABELS
         return not (low == "г" and before[-1:].isdigit() and not nxt.isdigit())
     if "." in word:
-        if low in DOTTED_END:
-            return False
+        if low in DOTTED_END:  # in capitals it is initials, but for the hours of a day
+            return word.isupper() and not (low[-2:] == ".m" and _word_before(p, s - 1)[-1:].isdigit())
         last = low.rpartition(".")[2]
         return len(last) < 2 or last in NEVER
     if low in NUMBERED:

@@ -10,6 +10,7 @@ CASES = [
     ["Das war Plan B.", "Der Schlüssel hing.", "Um 7 kam Hr. Kabinau, um 8 kam T.F. Namarau."],
     ["In der Kiste lagen Garn, Knöpfe u. Ä.", "Gemeint war Saal 528.", "Gebaut 1944.", "Im 16. Jahrhundert galt der 13. Plan.", "Es waren genau 397.", "12 Boote lagen da."],
     ["Bis 14.1.2019 blieb es zu.", "Am 3. Mai ging er.", "Ludwig XIV. bezahlte.", "Er sah Dr. med. Kenorau, z. B. gestern, d. h. um 6.30 Uhr."],
+    ["Danach galt der 13. Plan.", "K. Mamar zählte.", "Es ging an M. L. Fafalau u. P. M. Kabekau.", "P.M. Tirenik ging um 9 P.M. und kam.", "It was 9 P.M.", "Ηr. Abel und Ｄｒ. Bär gingen am １４. Mai."],
     ["Er wartete …", "Der Kasten … war fort.", "(Das wusste nur Hases.)", "Seza blieb."],
     ["On y vend du sel, etc.", "« Attends ! » cria Tamalo.", "« Je ne sais pas », dit Mme Telerik.", "Quelle nuit !", "M. D. Malin vécut vers 300 av. J.-C., dit-on."],
     ["The last train is the 9 p.m.", "Dr. H. Lodissen left at 6.30 p.m. and slept.", "“Stop?”", "\"Come back!\" cried Notara.", "It closed on October 3 (see p. 177).", "See www.a.example/b.c for e.g. more."],
