@@ -202,3 +202,34 @@ def training_plan(seconds: Column | str, epochs: Column | str, frames: int = 160
     save = F.greatest(F.lit(50), F.least(F.lit(1000), F.floor(total / 5)))
     last = F.greatest(F.lit(25), F.least(F.lit(500), F.floor(save / 2)))
     return F.struct(step_s.alias("step_seconds"), per_epoch.alias("steps_per_epoch"), total.alias("total_steps"), warmup.alias("warmup_steps"), save.alias("save_every"), last.alias("last_every"))
+
+
+def make_id(name: Column | str, at: Column | str, default: str = "projekt") -> Column:
+    """'20240108-062641-name': sorts by time."""
+    return F.concat(F.date_format(col(at), "yyyyMMdd-HHmmss"), F.lit("-"), slug(name, 40, default))
+
+
+def expects_pause(text: Column | str) -> Column:
+    """Whether a mark that asks for a pause follows the first word; false for blank texts."""
+    first = F.rtrim(F.regexp_extract(strip_space(text), r"^(\S+)", 1), F.lit(CLOSERS))
+    return F.coalesce(F.contains(F.lit(",;:.!?…–—-"), F.substring(first, -1, 1)) & (first != ""), F.lit(False))
+
+
+def fixed_duration(text: Column | str, transcript: Column | str, reference_s: Column | str, speed: Column | str, rate: float = 14.0, tail: float = 0.5, most_chars: int = 80) -> Column:
+    """Seconds, reference included, for a short text to which a share by bytes would give too little time; else null."""
+    pace = F.greatest(col(speed), F.lit(0.1))
+    n = F.octet_length(col(transcript))
+    by_bytes = col(reference_s) / F.nullif(n, F.lit(0)) * F.octet_length(col(text)) / pace
+    needed = F.length(col(text)) / F.lit(rate) / pace + tail
+    return F.when((F.length(col(text)) <= most_chars) & (col(reference_s) > 0) & (by_bytes < needed), col(reference_s) + needed)
+
+
+def number_list(c: Column | str) -> Column:
+    """Numbers of a text that is parted by commas or white space; what is no number is dropped, repeated ones too."""
+    return F.array_distinct(F.array_compact(F.transform(F.split(col(c), f"(?:,|{SPACE})+"), lambda x: F.when(x != "", x.try_cast("double")))))
+
+
+def over_length(c: Column | str, seconds: Column | str | None, rate: float = 14.0) -> Column:
+    """Whether a text is longer than an engine's limit in seconds allows; never without a limit."""
+    limit = F.lit(0) if seconds is None else F.coalesce(F.floor(col(seconds) * rate), F.lit(0))
+    return (limit > 0) & (F.length(col(c)) > limit)

@@ -244,3 +244,23 @@ def probe_recordings(recordings: DataFrame, key: str, level: str, frame_s: float
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return source.mapInArrow(run, "k string, threshold_db double, used boolean, pauses_split bigint, pauses_utterance bigint, longest_pause_s double, silence_share double, usable boolean").withColumnRenamed("k", key)
+
+
+def ends_abruptly(samples: np.ndarray, rate: int, tail_ms: int = 120) -> bool:
+    """Whether the end is nearly as loud as the whole, so that the recording breaks off instead of fading out."""
+    tail = int(rate * tail_ms / 1000)
+    if len(samples) < 2 * tail:
+        return False
+    x = np.asarray(samples, dtype=np.float64)
+    whole = np.sqrt(np.mean(x * x))
+    return bool(whole > 0 and np.sqrt(np.mean(x[-tail:] ** 2)) > 0.5 * whole)
+
+
+def assemble(parts: list[tuple[np.ndarray, bool, bool]], rate: int, pauses: tuple[float, float, float] = (0.35, 0.8, 1.2)) -> np.ndarray:
+    """One track of (samples, ends_paragraph, is_heading) parts: trimmed, faded, with a pause by kind after each but the last."""
+    out: list[np.ndarray] = []
+    for k, (samples, ends, title) in enumerate(parts):
+        out.append(fade(trim(samples, rate), rate))
+        if k + 1 < len(parts):
+            out.append(np.zeros(int((pauses[2] if title else pauses[1] if ends else pauses[0]) * rate), dtype=np.float32))
+    return np.concatenate(out).astype(np.float32) if out else np.zeros(0, dtype=np.float32)

@@ -23,13 +23,13 @@ def search(chunks: DataFrame, status: str = "", query: str = "") -> DataFrame:
     """Chunks of a status group whose texts contain the query, without regard to case, with the number of all chunks.
 
     An unknown group filters nothing; the query is a literal text, not a pattern."""
-    total = chunks.agg(F.count("*").alias("total"))
+    total = chunks.count()
     states = STATUS_GROUPS.get(status)
     out = chunks.where(F.col("status").isin(*states)) if states else chunks
     if q := query.strip().lower():
         hit = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(q)) for c in ("raw_text", "normalized_text", "asr_text")]
         out = out.where(hit[0] | hit[1] | hit[2])
-    return out.join(total)  # one row: no pairs arise
+    return out.withColumn("total", F.lit(total).cast("bigint"))
 
 
 def progress(chunks: DataFrame, keys: list[str]) -> DataFrame:
