@@ -55,13 +55,20 @@ _DOT = r"(?:\.|\s?\[\.\]\s?|\s\.\s|\s(?:punkt|dot|point|punto)\s)"
 #: Anchors with their captions, addresses, and addresses whose points are written in another way.
 _LINK = re.compile(
     rf"<a\s[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\s]*\)|\[url[^\]]*\].*?\[/url\]|(?:https?://|ftp://|www\.)[^\s<>\")\]]+(?:{_DOT}[^\s<>\")\]]+)*|(?:\b[\w-]+{_DOT}){{1,4}}(?:{_TOP})\b(?:/[^\s<>\")\]]*(?:{_DOT}html?)?)?", re.S)
-#: Without one of these a text has no link.
-_LINKED = re.compile(rf"https?:|ftp:|www|<a\s|\]\(|\[url|[. \]t](?:{_TOP})\b")
+#: Without one of these a text has no link. Both begin with something rare, so that most texts are passed over fast.
+_ADDRESS = re.compile(rf"\.(?:{_TOP})\b")
+_LINK_SIGNS = ("http", "ftp:", "www", "<a", "](", "[url", "[.]", " . ", " punkt ", " dot ", " point ", " punto ")
 _TAG = re.compile(r"<[^<>]{1,200}>")
 #: Letters with the marks that follow them.
 _WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])*")
 _PLAIN_WORD, _MARK = re.compile(r"[^\W\d_]+"), re.compile("[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]")
-_LINE = re.compile(r"\n+|\t|\s\+\+\+\s")
+_LINE = re.compile(r"\n|\t|\s\+\+\+\s")
+
+
+def _lines(text: str) -> list[str]:
+    return _LINE.split(text) if "\t" in text or "+++" in text else text.split("\n")
+
+
 _SENTENCE = re.compile(r"[.!?…।؟。！？]+")
 _SEPARATOR = re.compile(r"[|;•·>/*★☆+=#~]|,(?=\s)|\s[-–]\s")
 _ENDS, _CLOSERS = ".!?…।؟。！？", "\"”“»«›‹’')」』] \r\x0b\x0c\u00a0\u202f"
@@ -112,15 +119,15 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
     low = text.lower()
     lines: list[list] = [["", 0]]  # text without links, characters of links
     at = 0
-    if _LINKED.search(low):
+    if any(x in low for x in _LINK_SIGNS) or _ADDRESS.search(low):
         for m in _LINK.finditer(low):  # links stay whole: their inside isn't cut into lines
-            for k, part in enumerate(_LINE.split(low[at : m.start()])):
+            for k, part in enumerate(_lines(low[at : m.start()])):
                 if k:
                     lines.append(["", 0])
                 lines[-1][0] += part
             lines[-1][1] += m.end() - m.start()
             at = m.end()
-    for k, part in enumerate(_LINE.split(low[at:])):
+    for k, part in enumerate(_lines(low[at:])):
         if k:
             lines.append(["", 0])
         lines[-1][0] += part
@@ -147,12 +154,15 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
     singles = Counter(chain.from_iterable(fresh))
     language = _language(singles)
     known = _SETS.get(language, frozenset())
-    pairs = Counter(chain.from_iterable(zip(words, words[1:]) for words in fresh))
     for w in known & singles.keys():
         del singles[w]
     total = max(1, sum(singles.values()))
     often = {w for w, n in singles.items() if n >= 3 and n * 50 >= total}
-    double = {p for p, n in pairs.items() if n >= 3 and p[0] not in known and p[1] not in known}
+    # only words that recur can be in pairs that do
+    recurring = {w for w, n in singles.items() if n >= 3}
+    pairs = Counter(p for words in fresh if not recurring.isdisjoint(words) for p in zip(words, words[1:]) if p[0] in recurring and p[1] in recurring) if recurring else Counter()
+    double = {p for p, n in pairs.items() if n >= 3}
+    starts = {a for a, _ in double}
     glued = language in FUNCTION_SIGNS
     rows, all_hits, all_often, count = [], 0, 0, 0
     for x, sentences, repeated in zip(kept, line_sentences, again, strict=True):
@@ -161,7 +171,7 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
             n += len(words)
             if often:
                 many += sum(map(often.__contains__, words))
-            if double and True in (flags := list(map(double.__contains__, zip(words, words[1:])))):
+            if double and not starts.isdisjoint(words) and True in (flags := list(map(double.__contains__, zip(words, words[1:])))):
                 hits += sum(map(or_, [False, *flags], [*flags, False]))
         function = 0.0
         if n:
