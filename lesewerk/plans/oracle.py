@@ -226,4 +226,33 @@ SELECT user_id, round(coalesce(min(m) FILTER (n = 20), min(value)), 6) AS floor,
     "level_thresholds": """
 WITH d AS (SELECT user_id, 20 * log10(greatest(value / 500, 1e-12)) AS db FROM events), x AS (SELECT user_id, min(db) AS f, quantile_cont(db, 0.95) AS s FROM d GROUP BY user_id)
 SELECT user_id, round(least(greatest(f + 10, s - 25, -55), -20), 6) AS threshold FROM x""",
+    "merged_headings": f"""
+WITH x AS (SELECT project_id, chunk_index, raw_text, bool_or(coalesce(is_heading, false)) AS h, bool_or(coalesce(ends_paragraph, false)) AS e FROM chunks GROUP BY 1, 2, 3),
+m AS (SELECT a.project_id, a.chunk_index FROM x a LEFT JOIN x b ON b.project_id = a.project_id AND b.chunk_index = a.chunk_index - 1 AND b.h WHERE a.h AND b.h IS NULL),
+p AS (SELECT m.*, n.raw_text AS r, n.h AS nh, n.e AS ne FROM m JOIN x n ON n.project_id = m.project_id AND n.chunk_index = m.chunk_index + 1),
+y AS (SELECT x.*, p.r, p.nh, p.ne, {_strip("x.raw_text")} AS a, {_strip("p.r")} AS b FROM x LEFT JOIN p USING (project_id, chunk_index)
+  WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.project_id = x.project_id AND q.chunk_index + 1 = x.chunk_index)),
+z AS (SELECT *, rtrim(a, '"'')]»›“”') AS core FROM y)
+SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY chunk_index) - 1 AS INTEGER) AS chunk_index,
+  CASE WHEN r IS NULL THEN raw_text WHEN a = '' THEN b WHEN b = '' THEN a ELSE a || CASE WHEN core <> '' AND NOT contains('.!?…:,;', right(core, 1)) THEN '.' ELSE '' END || ' ' || b END AS raw_text,
+  CASE WHEN r IS NULL THEN h ELSE h AND nh END AS is_heading, CASE WHEN r IS NULL THEN e ELSE ne END AS ends_paragraph FROM z""",
+    "utterance_figures": f"""
+WITH {_REASON}, c2 AS (SELECT chunk_id, engine FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY coalesce(saved_at, TIMESTAMP '0001-01-01') DESC, engine DESC NULLS LAST) AS _r FROM chunks) WHERE _r = 1),
+x AS (SELECT coalesce(engine, '-') AS engine, reason, length(normalized_text) / 14.0::DOUBLE AS s, length(asr_text) AS n FROM r JOIN cur USING (chunk_id) JOIN c2 USING (chunk_id))
+SELECT engine, count(*) FILTER (reason IS NULL) AS segments, coalesce(round(sum(s) FILTER (reason IS NULL) / 60, 6), 0) AS minutes, coalesce(round(median(s) FILTER (reason IS NULL), 6), 0) AS median_s,
+  coalesce(round(median(CASE WHEN s > 0 THEN n / s ELSE 0 END) FILTER (reason IS NULL), 6), 0) AS median_pace, count(*) FILTER (reason IS NOT NULL) AS rejected,
+  coalesce(round(sum(s) FILTER (reason IS NOT NULL) / 60, 6), 0) AS rejected_minutes FROM x GROUP BY engine""",
+    "short_text_durations": """
+WITH v AS (SELECT name AS voice, transcript, duration_s FROM voices WHERE lage = 'neutral'), p AS (SELECT id AS project_id, transcript, duration_s FROM projects JOIN v USING (voice)),
+x AS (SELECT DISTINCT chunk_id, project_id, normalized_text FROM chunks)
+SELECT chunk_id, round(duration_s + length(normalized_text) / 14.0::DOUBLE + 0.5, 3) AS seconds FROM x JOIN p USING (project_id)
+WHERE length(normalized_text) <= 80 AND duration_s > 0 AND duration_s / nullif(strlen(transcript), 0) * strlen(normalized_text) < length(normalized_text) / 14.0::DOUBLE + 0.5""",
+    "text_flags": f"""
+WITH x AS (SELECT DISTINCT chunk_id, project_id, raw_text, normalized_text FROM chunks),
+y AS (SELECT project_id, length(normalized_text) > 280 AS o, rtrim(regexp_extract({_strip("raw_text")}, '^([^ \t\n\x0b\f\r]+)', 1), '"'')]»›“”') AS w,
+  split_part(trim(regexp_replace(replace(replace(replace(replace(lower(normalized_text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ', 1) AS f FROM x)
+SELECT project_id, count(*) FILTER (o) AS over, count(*) FILTER (w <> '' AND contains(',;:.!?…–—-', right(w, 1))) AS pauses, count(DISTINCT f) AS first_words FROM y GROUP BY project_id""",
+    "project_ids": """
+WITH s AS (SELECT id, try_cast(regexp_replace(replace(created_at, 'T', ' '), '(Z|\\+00:00)$', '') AS TIMESTAMP) AS made_at, left(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS s FROM projects)
+SELECT id, strftime(made_at, '%Y%m%d-%H%M%S') || '-' || coalesce(nullif(s, ''), 'projekt') AS made FROM s""",
 }

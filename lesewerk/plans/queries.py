@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lesewerk.functions import columns as c
 from lesewerk.functions import german, metrics
-from lesewerk.operators import ordered, segment, signal, tables
+from lesewerk.operators import curation, editing, ordered, segment, signal, tables
 from lesewerk.sources.tables import table
 
 #: Option limits of an engine: lowest, highest, whole numbers only.
@@ -317,6 +317,50 @@ def recording_probe(spark: SparkSession, d: str) -> DataFrame:
     return signal.probe_recordings(_series(spark, d), "user_id", "levels")
 
 
+def probe_summary(spark: SparkSession, d: str) -> DataFrame:
+    seconds = _series(spark, d).select(F.col("user_id").cast("string").alias("user_id"), (F.size("levels") / 10.0).alias("seconds"))
+    return curation.probe_summary(recording_probe(spark, d), "user_id", seconds)
+
+
+# ---- editing and curation
+
+
+def merged_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Every heading joined with the chunk after it."""
+    x = table(spark, d, "chunks").groupBy("project_id", "chunk_index", "raw_text", "normalized_text").agg(
+        F.max(F.coalesce("is_heading", F.lit(False))).alias("is_heading"), F.max(F.coalesce("ends_paragraph", F.lit(False))).alias("ends_paragraph"))
+    out = editing.merge_chunks(x, x.where("is_heading").select("project_id", "chunk_index"))
+    return out.select("project_id", "chunk_index", "raw_text", "is_heading", "ends_paragraph")
+
+
+def utterance_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted and rejected transcriptions by engine, at the pace that their text would need."""
+    x = reject_reasons(spark, d).join(_current(spark, d, "engine", "normalized_text", "asr_text"), "chunk_id")
+    x = x.withColumn("engine", F.coalesce("engine", F.lit("-"))).withColumn("seconds", F.length("normalized_text") / RATE)
+    return curation.dataset_figures(x.where("reason is null"), x.where("reason is not null"), ["engine"], "seconds", F.length("asr_text"))
+
+
+def short_text_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that a share by bytes would give too little time beside their project's voice."""
+    v = table(spark, d, "voices").where("lage = 'neutral'").select(F.col("name").alias("voice"), "transcript", "duration_s")
+    p = table(spark, d, "projects").select(F.col("id").alias("project_id"), "voice").join(v, "voice")
+    x = table(spark, d, "chunks").select("chunk_id", "project_id", "normalized_text").distinct().join(p, "project_id")
+    return x.select("chunk_id", F.round(c.fixed_duration("normalized_text", "transcript", "duration_s", F.lit(1.0)), 3).alias("seconds")).where("seconds is not null")
+
+
+def text_flags(spark: SparkSession, d: str) -> DataFrame:
+    """By project: texts over 20 seconds, texts whose first word asks for a pause, and the first words' number."""
+    x = table(spark, d, "chunks").select("chunk_id", "project_id", "raw_text", "normalized_text").distinct()
+    return x.groupBy("project_id").agg(
+        F.count_if(c.over_length("normalized_text", F.lit(20.0))).alias("over"), F.count_if(c.expects_pause("raw_text")).alias("pauses"),
+        F.countDistinct(F.regexp_extract(c.comparison_form("normalized_text"), r"^(\S+)", 1)).alias("first_words"))
+
+
+def project_ids(spark: SparkSession, d: str) -> DataFrame:
+    at = F.to_timestamp(F.regexp_replace("created_at", "T", " "))
+    return table(spark, d, "projects").select("id", c.make_id("name", at).alias("made"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -324,6 +368,7 @@ QUERIES = {
         grid_variants, grid_reconfigure, lists_of_comparisons, catalog, newest_projects, project_slugs, unique_labels, sample_rates, lexicon_upsert, acronym_candidates,
         typography, collapsed_space, comparison_forms, error_rates, spoken_forms, packed_chunks, heading_lines, joined_neighbours, rebuilt_texts, number_words, ordinal_words,
         year_words, chunk_seeds, pause_timeline, reject_reasons, reject_report, voice_checks, training_plans, voice_similarity, speech_islands, inner_pauses, threshold_sweep,
-        level_background, level_thresholds, recording_segments, recording_probe,
+        level_background, level_thresholds, recording_segments, recording_probe, probe_summary,
+        merged_headings, utterance_figures, short_text_durations, text_flags, project_ids,
     )
 }
