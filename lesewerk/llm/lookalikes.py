@@ -117,20 +117,27 @@ class Model:
         """The best path of a token that is written with the first members of the classes."""
         if (got := self.known.get((token, main))) is not None:
             return got
-        paths: list[tuple[float, str, int, str]] = [(0.0, "", -1, "")]  # score, spelling, script, last letter
-        base = unicodedata.normalize("NFD", token)
-        for c in base:
+        # a state is (score, script so far, last letter, chain of the characters back to the first)
+        states: list[tuple[float, int, str, tuple | None]] = [(0.0, -1, "", None)]
+        for c in unicodedata.normalize("NFD", token):
+            if script(c) < 0 and c not in _CLASS:  # marks and digits tell nothing of the script: every state goes on
+                states = [(score, before, last, (c, chain)) for score, before, last, chain in states]
+                continue
             nxt = []
             for member in _CLASS.get(c, c):
                 s = script(member)
-                ways = []
-                for score, text, before, last in paths:
-                    if s >= 0:
-                        score += self.score(last, member) - (SWITCH if before not in (-1, s) else 0) - (FOREIGN if s != main else 0)
-                    ways.append((score, text + member, s if s >= 0 else before, member if s >= 0 else last))
-                nxt.append(max(ways, key=lambda w: (w[0], w[1])))
-            paths = nxt
-        best = unicodedata.normalize("NFC", max(paths, key=lambda w: (w[0], w[1]))[1])
+                ways = [
+                    (score + self.score(last, member) - (SWITCH if before not in (-1, s) else 0) - (FOREIGN if s != main else 0), -k, s, member, (member, chain))
+                    for k, (score, before, last, chain) in enumerate(states)
+                ]
+                score, _, s, last, chain = max(ways, key=lambda w: w[:2])  # of equal ones the first
+                nxt.append((score, s, last, chain))
+            states = nxt
+        chain, letters = max(states, key=lambda w: w[0])[3], []
+        while chain:
+            letters.append(chain[0])
+            chain = chain[1]
+        best = unicodedata.normalize("NFC", "".join(reversed(letters)))
         if len(self.known) >= 1 << 18:
             self.known.clear()
         if len(token) <= 64:

@@ -79,13 +79,19 @@ _SPACES = re.compile(r" +")
 _LINE_ENDS = re.compile(r"\r(?!\n)|[\x85  ]")
 
 
+def _word_start(p: str, at: int) -> int:
+    """Begin of the word that ends at ``at``; of a word longer than that, the last 80 characters count."""
+    least = max(0, at - 80)
+    return max(p.rfind(" ", least, at) + 1, least)
+
+
 def _word_before(p: str, at: int) -> str:
-    return p[p.rfind(" ", 0, at) + 1 : at]
+    return p[_word_start(p, at) : at]
 
 
 def _stays(p: str, dot: int, after: int, start: int) -> bool:
     """Whether the single full stop at ``dot`` belongs to its word. The text goes on at ``after``; the unit began at ``start``."""
-    s = p.rfind(" ", 0, dot) + 1
+    s = _word_start(p, dot)
     word = p[s:dot].strip("\"„“”»«›‹‚‘’'([{（「『¿¡—–")
     if not word:
         return False

@@ -52,9 +52,10 @@ _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _JA, _ZH, _TH = frozenset(FUNCTION_SIGNS["ja"]), frozenset(FUNCTION_SIGNS["zh"]), tuple(FUNCTION_SIGNS["th"].split())
 _TOP = "example|test|com|net|org|info|biz|shop|de|at|ch|io|fr|es|ru|cn|jp|co"
 _DOT = r"(?:\.|\s?\[\.\]\s?|\s\.\s|\s(?:punkt|dot|point|punto)\s)"
+# All repetitions are bounded: no text, however long or odd, takes more than linear time.
 #: Anchors with their captions, addresses, and addresses whose points are written in another way.
 _LINK = re.compile(
-    rf"<a\s[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\s]*\)|\[url[^\]]*\].*?\[/url\]|(?:https?://|ftp://|www\.)[^\s<>\")\]]+(?:{_DOT}[^\s<>\")\]]+)*|(?:\b[\w-]+{_DOT}){{1,4}}(?:{_TOP})\b(?:/[^\s<>\")\]]*(?:{_DOT}html?)?)?", re.S)
+    rf"<a\s[^>]{{0,2000}}>.{{0,2000}}?</a>|!?\[[^\]\n]{{0,300}}\]\([^)\s]{{0,2000}}\)|\[url[^\]]{{0,2000}}\].{{0,2000}}?\[/url\]|(?:https?://|ftp://|www\.)[^\s<>\")\]]+(?:{_DOT}[^\s<>\")\]]+)*|(?:\b[\w-]{{1,63}}{_DOT}){{1,4}}(?:{_TOP})\b(?:/[^\s<>\")\]]*(?:{_DOT}html?)?)?", re.S)
 #: Without one of these a text has no link. Both begin with something rare, so that most texts are passed over fast.
 _ADDRESS = re.compile(rf"\.(?:{_TOP})\b")
 _LINK_SIGNS = ("http", "ftp:", "www", "<a", "](", "[url", "[.]", " . ", " punkt ", " dot ", " point ", " punto ")
@@ -72,7 +73,7 @@ def _lines(text: str) -> list[str]:
 _SENTENCE = re.compile(r"[.!?…।؟。！？]+")
 _SEPARATOR = re.compile(r"[|;•·>/*★☆+=#~]|,(?=\s)|\s[-–]\s")
 _ENDS, _CLOSERS = ".!?…।؟。！？", "\"”“»«›‹’')」』] \r\x0b\x0c\u00a0\u202f"
-_PRODUCT = re.compile(r"\d+[.,]\d{2}\s?(?:€|\$|£|¥|eur\b|usd\b)|[€$£¥]\s?\d+(?:[.,]\d{2})?|art\.-nr\.|★+☆*|(?<!\w)#\w+")
+_PRODUCT = re.compile(r"\d{1,9}[.,]\d{2}\s?(?:€|\$|£|¥|eur\b|usd\b)|[€$£¥]\s?\d{1,9}(?:[.,]\d{2})?|art\.-nr\.|★+☆*|(?<!\w)#\w+")
 _MARKED = re.compile(r"[€$£¥★#]|art\.-nr|eur\b|usd\b")
 _ENTRY = re.compile(r"\s*(?:\d+[.):]?\s+.*\d\s*$|\[?\d{1,3}\]?[.):]?\s+\S|.*\.{3,}\s*\d+\s*$|.*\d{1,2}:\d{2}\s*$|[^\s:,|][^:,|]{0,28}:\s+[^|;,#]{1,60}$|\S.{0,40}\s(?:→|->|=>)\s)")
 #: A speaker, role or label before a line's text.
@@ -82,6 +83,8 @@ _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 LANGUAGES = ("de", "en", "fr", "es", "it", "ru", "ar", "hi", "ja", "zh", "th", "other")
 
 
+#: A longer line isn't an entry of a list.
+LONGEST_ENTRY = 400
 #: No threshold of function words lies above this share: LOW times a median of at most 1.
 MOST_LOW = 0.45
 
@@ -187,7 +190,7 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
             marks = len(_PRODUCT.findall(x[0])) if _MARKED.search(x[0]) else 0
             rows.append((
                 size, x[1] / size, function, hits / d, many / d, len(_SEPARATOR.findall(x[0])) / d, marks / d, n, repeated,
-                not x[1] and _ENTRY.match(x[0]) is not None, (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS,
+                not x[1] and len(x[0]) <= LONGEST_ENTRY and _ENTRY.match(x[0]) is not None, (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS,
             ))
         all_hits, all_often, count = all_hits + hits, all_often + many, count + n
     return language, all_hits / max(1, count), all_often / max(1, count), rows

@@ -29,6 +29,8 @@ def test_spelling_keeps_the_script():
     assert MODEL.canonical("Er kaufte еin Auto") == "Er kaufte ein Auto"
     assert MODEL.canonical("") == "" and MODEL.canonical(None) is None
     assert MODEL.canonical("HOC") == "HOC" and MODEL.canonical("HOC и стол") == "НОС и стол"
+    assert MODEL.canonical("Das Wort ёлка und ëлкa") == "Das Wort ёлка und ёлка"
+    assert MODEL.canonical("o" * 200_000 + "ж") == "о" * 200_000 + "ж"
     assert MODEL.canonical("Ένα Aυτοκίνητο") == "Ένα Αυτοκίνητο"
 
 
