@@ -194,7 +194,7 @@ SELECT project_id, chunk_index, seconds, CAST(pause_s AS DOUBLE) AS pause_s,
     "reject_reasons": f"WITH {_REASON} SELECT * FROM r",
     "reject_report": f"WITH {_REASON} SELECT split_part(reason, ' -- ', 1) AS kind, count(*) AS n, min(chunk_id) AS \"first\", max(chunk_id) AS \"last\" FROM r WHERE reason IS NOT NULL GROUP BY 1",
     "voice_checks": f"""
-WITH v AS (SELECT *, nullif(length({_strip("coalesce(transcript, '')")}), 0) / duration_s AS r FROM voices)
+WITH v AS (SELECT *, nullif(length({_strip("coalesce(transcript, '')")}), 0) / nullif(duration_s, 0) AS r FROM voices)
 SELECT name, lage, concat_ws(',', CASE WHEN duration_s < 5 THEN 'kurz' END, CASE WHEN duration_s > 12 THEN 'lang' END, CASE WHEN sample_rate < 16000 THEN 'rate' END, CASE WHEN r < 7 THEN 'wenig' END, CASE WHEN r > 24 THEN 'viel' END) AS warnings,
   duration_s >= 1 AS ok,
   CASE WHEN chars_per_second > 0 AND NOT (14.5 / chars_per_second BETWEEN 0.95 AND 1.05) THEN round(greatest(0.5, least(1.5, 14.5 / chars_per_second)), 2) END AS speed,

@@ -112,7 +112,7 @@ def lists_of_comparisons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "projects").select("id", "name", F.to_timestamp(F.regexp_replace("created_at", "T", " ")).alias("at"), c.moment_text("created_at").alias("created"))
+    p = table(spark, d, "projects").select("id", "name", F.try_to_timestamp(F.regexp_replace("created_at", "T", " ")).alias("at"), c.moment_text("created_at").alias("created"))
     return p.orderBy(F.desc("at"), "id").select("id", "name", "created")
 
 
@@ -228,7 +228,8 @@ def pause_timeline(spark: SparkSession, d: str) -> DataFrame:
 def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The first rule that a transcription breaks, at the pace that its text would need."""
     x = _current(spark, d, "project_id", "normalized_text", "asr_text", "status").where("status in ('ok', 'needs_review', 'failed')")
-    rate = F.length("asr_text") / (F.length("normalized_text") / RATE)
+    n = F.length("normalized_text")
+    rate = F.when(n == 0, float("inf")).otherwise(F.length("asr_text") / (n / RATE))
     low, high = c.PLAUSIBLE_RATES
     reason = (
         F.when(F.coalesce("asr_text", F.lit("")) == "", "keine Rückschrift -- vermutlich kein Sprachanteil")
@@ -246,7 +247,7 @@ def reject_report(spark: SparkSession, d: str) -> DataFrame:
 def voice_checks(spark: SparkSession, d: str) -> DataFrame:
     """All warnings of each recording, the pace that would be comfortable, and what a chunk may last beside it."""
     n = F.length(c.strip_space(F.coalesce("transcript", F.lit(""))))
-    rate = F.when(n > 0, n / F.col("duration_s"))
+    rate = F.when(n > 0, n / F.nullif(F.col("duration_s"), F.lit(0.0)))
     low, high = c.PLAUSIBLE_RATES
     w = F.array_compact(F.array(
         F.when(F.col("duration_s") < 5, "kurz"), F.when(F.col("duration_s") > 12, "lang"), F.when(F.col("sample_rate") < 16000, "rate"), F.when(rate < low, "wenig"), F.when(rate > high, "viel")))
@@ -357,7 +358,7 @@ def text_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_ids(spark: SparkSession, d: str) -> DataFrame:
-    at = F.to_timestamp(F.regexp_replace("created_at", "T", " "))
+    at = F.try_to_timestamp(F.regexp_replace("created_at", "T", " "))
     return table(spark, d, "projects").select("id", c.make_id("name", at).alias("made"))
 
 
