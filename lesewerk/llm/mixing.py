@@ -1,9 +1,10 @@
 """Mixing sources to target weights, in tokens of a public tokenizer.
 
-Method: hierarchical budgeting. The wanted total goes down a tree of columns (here source, language; a domain level would
-stand before them) by the nodes' weights. A node that can't use its budget, even with every document repeated as often as
-allowed, leaves the rest to its siblings; only what they can't take either goes to its parent's siblings. Each leaf then
-gives whole seeded epochs and, of one more, the prefix of documents that its budget reaches.
+Method: hierarchical budgeting. A source's target share is spread over its leaves by their tokens and goes up a tree of
+columns (``levels``: source, language by default; domain, language, source or any other order works alike); a node weighs
+what its leaves do. The wanted total goes down the tree by these weights. A node that can't use its budget, even with every
+document repeated as often as allowed, leaves the rest to its siblings; only what they can't take either goes to its
+parent's siblings. Each leaf then gives whole seeded epochs and, of one more, the prefix of documents that its budget reaches.
 
 By default the total is the largest at which no source falls short, so every source that occurs has its target share; the
 shares of sources that don't occur are spread over the others in proportion, and reported as 0. With a larger total the
@@ -66,62 +67,76 @@ def allot(node: Node, budget: float) -> None:
             allot(c, c.budget)
 
 
-def plan(leaves: list[tuple[str, str, int]], weights: dict[str, tuple[float, int]], total: float | None = None) -> Node:
-    """The tree with budgets of (source, language, tokens) leaves and {source: (target share, repeats)}."""
+def plan(leaves: list[tuple], weights: dict[str, tuple[float, int]], total: float | None = None, source_at: int = 0) -> Node:
+    """The tree with budgets of (*path, tokens) leaves and {source: (target share, repeats)}; ``source_at`` is the source's place in a path."""
+    of_source: dict[str, int] = {}
+    usable = [(p, n) for *p, n in leaves if n > 0 and weights.get(p[source_at], (0, 0))[0] > 0]
+    for p, n in usable:
+        of_source[p[source_at]] = of_source.get(p[source_at], 0) + n
     root = Node(())
-    for source, (share, repeats) in sorted(weights.items()):
-        top = Node((source,), share, repeats=repeats)
-        top.children = [Node((source, lang), float(n), n, repeats) for s, lang, n in sorted(leaves) if s == source and n > 0]
-        if not top.children or share <= 0:
-            continue
-        top.tokens = sum(c.tokens for c in top.children)
-        root.children.append(top)
-    present = sum(c.weight for c in root.children)
+    for p, n in sorted(usable):
+        share, repeats = weights[p[source_at]]
+        weight, node = share * n / of_source[p[source_at]], root
+        node.weight += weight
+        for k in range(len(p)):
+            name = tuple(p[: k + 1])
+            if not node.children or node.children[-1].name != name:  # paths are sorted
+                node.children.append(Node(name))
+            node = node.children[-1]
+            node.weight, node.tokens = node.weight + weight, node.tokens + n
+        node.repeats = repeats
     if total is None:
-        total = min((c.capacity() * present / c.weight for c in root.children), default=0.0)
+        total = min((n * weights[s][1] * root.weight / weights[s][0] for s, n in of_source.items()), default=0.0)
     allot(root, total)
     return root
 
 
+def leaves_of(node: Node) -> list[Node]:
+    return [leaf for c in node.children for leaf in leaves_of(c)] if node.children else [node] * bool(node.name)
+
+
 def weight_rows(weights: DataFrame) -> dict[str, tuple[float, int]]:
     """{folded source: (target share, most repeats)}; of repeated rows the last by share holds, a null share is 0, null repeats are 1."""
     rows = small_rows(weights.select(fold_name(F.col("source")).alias("s"), "target_share", "max_repeats").where("s is not null"), MOST_LEAVES, "source weights")
     return {r.s: (float(r.target_share or 0.0), max(1, int(r.max_repeats or 1))) for r in sorted(rows, key=lambda r: (r.s, r.target_share or 0.0))}
 
 
-def counted_documents(documents: DataFrame, weights: dict[str, tuple[float, int]], ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, source, lang, n_tokens), checkpointed: the corpus is encoded once for budgets, selection and report."""
+def counted_documents(documents: DataFrame, weights: dict[str, tuple[float, int]], levels: tuple[str, ...], ranks_path: str | None = None) -> DataFrame:
+    """(doc_id, levels, n_tokens), checkpointed: the corpus is encoded once for budgets, selection and report."""
     ensure_checkpoint_dir(documents.sparkSession)
     source = fold_name(F.col("source"))
-    docs = documents.where(source.isin(*weights) if weights else F.lit(False)).where("doc_id is not null").select("doc_id", source.alias("source"), fold_lang(F.col("lang")).alias("lang"), "text")
-    counted = count_tokens(docs, ranks_path=ranks_path).groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source", "lang")).alias("d"))
-    return counted.select("doc_id", "d.source", "d.lang", "d.n_tokens").where("n_tokens > 0").checkpoint()
+    folded = {"source": source, "lang": fold_lang(F.col("lang"))} if "lang" in levels else {"source": source}
+    columns = [(folded[x] if x in folded else F.coalesce(fold_name(F.col(x)), F.lit("-"))).alias(x) for x in levels]
+    docs = documents.where(source.isin(*weights) if weights else F.lit(False)).where("doc_id is not null").select("doc_id", *columns, "text")
+    counted = count_tokens(docs, ranks_path=ranks_path).groupBy("doc_id").agg(F.max(F.struct("n_tokens", *levels)).alias("d"))
+    return counted.select("doc_id", *[f"d.{x}" for x in levels], "d.n_tokens").where("n_tokens > 0").checkpoint()
 
 
-def mix(documents: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 17, ranks_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mixture, report). The mixture has a row (doc_id, source, lang, n_tokens, epoch, tokens_used, place) for each use of a
-    document, ``place`` being its seeded place in the epoch; the report a row for each weighted source with target and reached share."""
+def mix(documents: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 17, ranks_path: str | None = None, levels: tuple[str, ...] = ("source", "lang")) -> tuple[DataFrame, DataFrame]:
+    """(mixture, report). The mixture has a row (doc_id, levels, n_tokens, epoch, tokens_used, place) for each use of a document,
+    ``place`` being its seeded place in the epoch; the report a row for each weighted source with target and reached share.
+    ``levels`` are columns of ``documents``, from the root on, and hold 'source'."""
     spark = documents.sparkSession
+    keys = list(levels)
     by_source = weight_rows(weights)
-    counted = counted_documents(documents, by_source, ranks_path)
-    leaves = small_rows(counted.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")), MOST_LEAVES, "leaves")
-    root = plan([(r.source, r.lang, r.n) for r in leaves], by_source, total)
+    counted = counted_documents(documents, by_source, levels, ranks_path)
+    leaves = small_rows(counted.groupBy(*keys).agg(F.sum("n_tokens").alias("n")), MOST_LEAVES, "leaves")
+    root = plan([tuple(r) for r in leaves], by_source, total, levels.index("source"))
     rows = []
-    for top in root.children:
-        for leaf in top.children:
-            epochs = min(int(leaf.budget // leaf.tokens), leaf.repeats)
-            rows.append((*leaf.name, epochs, int(leaf.budget - epochs * leaf.tokens + 0.5) if epochs < leaf.repeats else 0))
-    budgets = spark.createDataFrame(rows, "source string, lang string, epochs int, rest bigint")
-    docs = counted.join(budgets, ["source", "lang"]).withColumn("h", F.xxhash64(F.lit(seed), F.col("epochs") + 1, "doc_id"))
+    for leaf in leaves_of(root):
+        epochs = min(int(leaf.budget // leaf.tokens), leaf.repeats)
+        rows.append((*leaf.name, epochs, int(leaf.budget - epochs * leaf.tokens + 0.5) if epochs < leaf.repeats else 0))
+    budgets = spark.createDataFrame(rows, ", ".join(f"`{x}` string" for x in keys) + ", epochs int, rest bigint")
+    docs = counted.join(budgets, keys).withColumn("h", F.xxhash64(F.lit(seed), F.col("epochs") + 1, "doc_id"))
     docs = docs.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    sums = docs.groupBy("source", "lang", "bucket").agg(F.sum("n_tokens").alias("here"))
-    before = sums.select("source", "lang", "bucket", F.coalesce(F.sum("here").over(Window.partitionBy("source", "lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "lang", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = docs.withColumn("upto", F.sum("n_tokens").over(within)).join(before, ["source", "lang", "bucket"])
+    sums = docs.groupBy(*keys, "bucket").agg(F.sum("n_tokens").alias("here"))
+    before = sums.select(*keys, "bucket", F.coalesce(F.sum("here").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*keys, "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = docs.withColumn("upto", F.sum("n_tokens").over(within)).join(before, [*keys, "bucket"])
     part = F.greatest(F.least(F.col("rest") - F.col("before") - F.col("upto") + F.col("n_tokens"), F.col("n_tokens")), F.lit(0))
     uses = placed.withColumn("part", part).withColumn("uses", F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)).where("uses > 0")
-    mixture = uses.select("doc_id", "source", "lang", "n_tokens", F.explode(F.sequence(F.lit(1), "uses")).alias("epoch"), "epochs", "part").select(
-        "doc_id", "source", "lang", "n_tokens", "epoch", F.when(F.col("epoch") > F.col("epochs"), F.col("part")).otherwise(F.col("n_tokens")).alias("tokens_used"),
+    mixture = uses.select("doc_id", *keys, "n_tokens", F.explode(F.sequence(F.lit(1), "uses")).alias("epoch"), "epochs", "part").select(
+        "doc_id", *keys, "n_tokens", "epoch", F.when(F.col("epoch") > F.col("epochs"), F.col("part")).otherwise(F.col("n_tokens")).alias("tokens_used"),
         F.xxhash64(F.lit(seed), "epoch", "doc_id").alias("place"),
     )
     targets = spark.createDataFrame([(s, w, r) for s, (w, r) in by_source.items()], "source string, target_share double, max_repeats int")

@@ -23,6 +23,18 @@ def test_shortage_goes_to_siblings_first():
     assert [c.budget for c in root.children] == [510, 690]
 
 
+def test_domain_language_source_tree():
+    leaves = [("web", "de", "a", 100), ("web", "de", "b", 10), ("web", "en", "a", 100), ("book", "de", "c", 1000)]
+    weights = {"a": (0.4, 1), "b": (0.4, 1), "c": (0.2, 1)}
+    root = m.plan(leaves, weights, 200, source_at=2)
+    got = {x.name: round(x.budget, 6) for x in m.leaves_of(root)}
+    # b of (web, de) is short by 70: its sibling a takes 60 more, the rest goes up to (web, en)
+    assert got[("web", "de", "b")] == 10 and got[("web", "de", "a")] == 100 and got[("web", "en", "a")] == 50 and got[("book", "de", "c")] == 40
+    assert sum(got.values()) == 200
+    full = {x.name: x.budget for x in m.leaves_of(m.plan(leaves, weights, source_at=2))}
+    assert full[("web", "de", "b")] == pytest.approx(10) and sum(full.values()) == pytest.approx(25)
+
+
 def test_default_total_meets_every_target():
     got = m.plan([("a", "de", 100), ("b", "de", 1000)], {"a": (0.25, 2), "b": (0.75, 1), "gone": (0.5, 1)})
     assert budgets(got)[("a",)] == pytest.approx(200) and budgets(got)[("b",)] == pytest.approx(600)
@@ -56,4 +68,6 @@ def test_larger_total_uses_every_repeat(spark):
     w = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
     mixture, report = m.mix(df, w, total=10_000)
     assert {(r.doc_id, r.epoch) for r in mixture.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)}
+    three = m.mix(df.selectExpr("*", "'Web ' AS domain"), w, levels=("domain", "lang", "source"))
+    assert {(r.domain, r.lang, r.source) for r in three[0].collect()} == {("web", "de", "a"), ("web", "de", "b")} and three[1].count() == 2
     assert m.mix(df.limit(0), w)[0].count() == 0 and m.mix(df, w.limit(0))[1].count() == 0
