@@ -19,10 +19,14 @@ def number_accepted(segments: DataFrame, reason: Column, order: list[str]) -> tu
 
 
 def dataset_figures(accepted: DataFrame, rejected: DataFrame, keys: list[str], seconds: str, chars: Column) -> DataFrame:
-    """Segments, minutes, median length and pace of the accepted, number and minutes of the rejected; 0 where there are none."""
+    """Segments, minutes, median length and pace of the accepted, number and minutes of the rejected; 0 where there are none.
+    Without keys it is one row over all, or none if there is nothing at all."""
+    if not keys:
+        one = lambda df: df.withColumn("_all", F.lit(1))
+        return dataset_figures(one(accepted), one(rejected), ["_all"], seconds, chars).drop("_all")
     a = accepted.groupBy(*keys).agg(F.count("*").alias("segments"), (F.sum(seconds) / 60).alias("minutes"), F.median(seconds).alias("median_s"), F.median(F.when(F.col(seconds) > 0, chars / F.col(seconds)).otherwise(0.0)).alias("median_pace"))
     r = rejected.groupBy(*keys).agg(F.count("*").alias("rejected"), (F.sum(seconds) / 60).alias("rejected_minutes"))
-    both = a.join(r, keys, "full") if keys else a.crossJoin(r)  # without keys either side is one row
+    both = a.join(r, keys, "full")
     return both.select(*keys, *[F.coalesce(F.round(c, 6), F.lit(0)).alias(c) for c in ("segments", "minutes", "median_s", "median_pace", "rejected", "rejected_minutes")])
 
 
