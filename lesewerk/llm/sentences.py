@@ -57,7 +57,7 @@ NUMBERED = frozenset("nr nrn no nos art abs abb bd bde kap tab fig vol ch sec st
 #: Written with inner points, and may end a sentence.
 DOTTED_END = frozenset("p.m a.m u.a u.ä u.ae u.v.m u.a.m u.s.w u.dgl i.d.r n.chr v.chr u.s u.k d.c j.-c т.д т.п".split())
 #: The same written with spaces, as the end of the text before a point.
-SPACED_END = re.compile(r"(?:^|\s)(?:u\. [aäÄ]|u\. ?a\. ?m|u\. ?s\. ?w|u\. ?v\. ?m|i\. ?d\. ?R|n\. ?Chr|v\. ?Chr|v\. ?H|J\. ?-C|т\. ?[дп]|p\. ?m|a\. ?m)$")
+SPACED_END = re.compile(r"(?:^|\s)(?:u\. +[aäÄ]|u\. *a\. *m|u\. *s\. *w|u\. *v\. *m|i\. *d\. *R|n\. *Chr|v\. *Chr|v\. *H|J\. *-C|т\. *[дп]|p\. *m|a\. *m)$")
 #: A single capital or a number after one of these is a name, not an initial or an ordinal.
 LABELS = frozenset("plan klasse raum typ punkt gruppe gleis block stufe saal modell version vitamin skala teil zone halle reihe tor haus station note variante option team room class type group level jahr genau seite zimmer kapitel nummer".split())
 #: Words before an ordinal number.
@@ -89,6 +89,13 @@ def _word_before(p: str, at: int) -> str:
     return p[_word_start(p, at) : at]
 
 
+def _previous_word(p: str, start: int) -> str:
+    """The word before the one that begins at ``start``, over any number of spaces."""
+    while start and p[start - 1] == " ":
+        start -= 1
+    return _word_before(p, start)
+
+
 def _stays(p: str, dot: int, after: int, start: int) -> bool:
     """Whether the single full stop at ``dot`` belongs to its word. The text goes on at ``after``; the unit began at ``start``."""
     s = _word_start(p, dot)
@@ -104,7 +111,7 @@ def _stays(p: str, dot: int, after: int, start: int) -> bool:
             return False
         if s <= start:
             return True  # the number of a list entry
-        before = _word_before(p, s - 1).strip("\"„“”»«›‹‚‘’'([{.").lower()
+        before = _previous_word(p, s).strip("\"„“”»«›‹‚‘’'([{.").lower()
         if before in ORDINAL_BEFORE:
             return len(low) <= 3
         e = after
@@ -114,15 +121,15 @@ def _stays(p: str, dot: int, after: int, start: int) -> bool:
     if len(word) == 1:
         if not word.isalpha():
             return False
-        if SPACED_END.search(p, max(0, dot - 12), dot) or word.lower() == "ä" and _word_before(p, s - 1) == "u.":
+        if SPACED_END.search(p, max(0, dot - 16), dot) or word.lower() == "ä" and _previous_word(p, s) == "u.":
             return False
-        before = _word_before(p, s - 1).strip("\"„“”»«›‹‚‘’'([{") if s > start else ""
+        before = _previous_word(p, s).strip("\"„“”»«›‹‚‘’'([{") if s > start else ""
         if word.isupper():
             return before.lower() not in LABELS
         return not (low == "г" and before[-1:].isdigit() and not nxt.isdigit())
     if "." in word:
         if low in DOTTED_END:  # in capitals it is initials, but for the hours of a day
-            return word.isupper() and not (low[-2:] == ".m" and _word_before(p, s - 1)[-1:].isdigit())
+            return word.isupper() and not (low[-2:] == ".m" and _previous_word(p, s)[-1:].isdigit())
         last = low.rpartition(".")[2]
         return len(last) < 2 or last in NEVER
     if low in NUMBERED:

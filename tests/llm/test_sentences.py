@@ -39,6 +39,10 @@ def test_unspaced(units):
     assert s.split_units("".join(units)) == units
 
 
+def test_stray_spaces():
+    assert s.split_units("Das war Plan  B.  Der  13.  Plan galt am  3.  Mai. Garn u.  Ä.  Dann z.  B. er . Ende") == ["Das war Plan  B.", "Der  13.  Plan galt am  3.  Mai.", "Garn u.  Ä.", "Dann z.  B. er .", "Ende"]
+
+
 def test_paragraphs_and_headings():
     text = "Kapitel 1\n \nEs war\neinmal.  Ende\n\n\n"
     assert s.split_units(text) == ["Kapitel 1", "Es war\neinmal.", "Ende"]
