@@ -39,8 +39,6 @@ def test_curation(spark):
     assert [(r.source, r.k, r.number) for r in good.orderBy("number").collect()] == [("a", 2, 1), ("b", 0, 2), ("b", 1, 3)] and bad.count() == 1
     f = {r.source: r for r in curation.dataset_figures(good, bad, ["source"], "seconds", F.length("text")).collect()}
     assert f["b"].segments == 2 and f["b"].median_s == 3 and f["b"].rejected == 0 and f["a"].rejected == 1
-    whole = curation.dataset_figures(good, bad, [], "seconds", F.length("text")).first()
-    assert (whole.segments, whole.rejected) == (3, 1)
     probe = spark.createDataFrame([("r", -60.0, False, 3, True), ("r", -50.0, True, 1, True), ("r", -40.0, False, 3, True), ("h", -50.0, True, 0, False)], "k string, threshold_db double, used boolean, pauses_split bigint, usable boolean")
     got = {r.k: r for r in curation.probe_summary(probe, "k", spark.createDataFrame([("r", 40.0), ("h", 10.0)], "k string, seconds double")).collect()}
     assert (got["r"].best_db, got["r"].needed, got["r"].enough) == (-60.0, 2, False) and got["h"].hopeless and got["h"].enough
