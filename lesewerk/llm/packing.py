@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lesewerk.session import ensure_checkpoint_dir
-
 #: Parts in which the ranks of a class are counted, and classes that one packing step holds.
 SALTS, BLOCK_CLASSES = 64, 8192
 
@@ -111,9 +109,6 @@ def pack(items: DataFrame, group: str, item: str, size: str, capacity: str, sour
         "g", "i", "part_no", "cap", "src", "clu", (F.col("part_no") * F.col("cap")).alias("part_start"),
         F.least(F.col("len") - F.col("part_no") * F.col("cap"), F.col("cap")).alias("size"), F.pmod(F.xxhash64("i", "part_no"), F.lit(salts)).cast("int").alias("salt"),
     )
-    # read by the counts and by the ranks: the items' sizes are made once (a few numbers for each item)
-    ensure_checkpoint_dir(items.sparkSession)
-    parts = parts.checkpoint()
     key = ["g", "size", "src", "clu"]
     salted = parts.groupBy(*key, "salt").agg(F.count("*").alias("n"), F.min("cap").alias("cap"))
     classes = salted.groupBy(*key).agg(F.sum("n").alias("n"), F.min("cap").alias("cap"), F.sort_array(F.collect_list(F.struct("salt", F.col("n").alias("m")))).alias("parts"))
