@@ -9,8 +9,9 @@ per language. For each line of a text a worker measures
 - separators, price and tag marks for each word, and whether it is a copy of an earlier line,
 - whether it is an entry of a numbered, timed, spoken-role or arrow list, and whether it ends like a sentence.
 
-The usual share of function words and the usual upper shares of recurring pairs and words are percentiles over all
-documents of a language. A line is junk if it is link text or product tags, or if it lacks the function words of its
+The usual share of function words and the usual upper shares of recurring pairs and words are percentiles over the distinct
+texts of a language; how far the upper shares count is bounded by the median and by fixed values, so that a language full of
+stuffed pages doesn't pass for one that is written so. A line is junk if it is link text or product tags, or if it lacks the function words of its
 language while its words recur, stand between separators or don't end as a sentence; a whole text is junk if recurring pairs or
 words go well beyond what the language's texts reach (keywords strewn into sentences or dressed as such). A document is
 found if junk makes up at least ``share`` of it. Sentences and lines that are mere copies count once for the recurrence, so
@@ -200,13 +201,13 @@ _LINE_TYPE = pa.struct([("size", pa.int32()), ("link", pa.float32()), ("fun", pa
 
 
 def measure_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, language, pairs, often, lines) of the documents that aren't blank."""
-    source = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and trim(t) != ''")
-    names = ["k", "language", "pairs", "often", "lines"]
+    """(key, copy, language, pairs, often, lines) of the documents that aren't blank; ``copy`` is the same for the same text."""
+    source = documents.select(F.col(key).alias("k"), F.xxhash64(text).alias("copy"), F.col(text).alias("t")).where("k is not null and t is not null and trim(t) != ''")
+    names = ["k", "copy", "language", "pairs", "often", "lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [measure(t) for t in batch.column(1).to_pylist()]
+            got = [measure(t) for t in batch.column(2).to_pylist()]
             flat = [r for x in got for r in x[3]]
             offsets = [0]
             for x in got:
@@ -214,11 +215,11 @@ def measure_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
             columns = list(zip(*flat, strict=True)) if flat else [[] for _ in _LINE_TYPE]
             inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINE_TYPE, strict=True)], fields=list(_LINE_TYPE))
             rest = [pa.array([x[k] for x in got], t) for k, t in enumerate((pa.string(), pa.float32(), pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], names)
 
     kind = source.schema["k"].dataType.simpleString()
     line = "size:int,link:float,fun:float,pairs:float,often:float,seps:float,marks:float,words:int,again:boolean,entry:boolean,ended:boolean"
-    return source.mapInArrow(run, f"k {kind}, language string, pairs float, often float, lines array<struct<{line}>>").withColumnRenamed("k", key)
+    return source.mapInArrow(run, f"k {kind}, copy bigint, language string, pairs float, often float, lines array<struct<{line}>>").withColumnRenamed("k", key)
 
 
 def _sum(lines: str, value) -> Column:
@@ -226,16 +227,22 @@ def _sum(lines: str, value) -> Column:
 
 
 def calibrate(pages: DataFrame) -> dict[str, dict[str, float]]:
-    """Thresholds of each language from all its documents: {'low': function share, 'pairs': ..., 'often': ...}."""
+    """Thresholds of each language from its distinct texts: {'low': function share, 'pairs': ..., 'often': ...}.
+
+    Stuffed pages move the 90 % shares as soon as they are a tenth of a language, so these count only as far as they stay near
+    the median, which takes half of the texts to move, and below a fixed share, which nothing moves.
+    """
     share = _sum("lines", lambda x: x["fun"] * x["size"]) / F.greatest(_sum("lines", lambda x: x["size"].cast("double")), F.lit(1.0))
-    rows = pages.groupBy("language").agg(
-        F.percentile_approx(share, 0.5, 10000).alias("fun"), F.percentile_approx("pairs", 0.9, 10000).alias("pairs"), F.percentile_approx("often", 0.9, 10000).alias("often")).collect()  # at most one row for each of LANGUAGES
+    texts = pages.select("language", "copy", share.alias("fun"), "pairs", "often").dropDuplicates(["language", "copy"])
+    rows = texts.groupBy("language").agg(*[F.percentile_approx(c, [0.5, 0.9], 10000).alias(c) for c in ("fun", "pairs", "often")]).collect()  # at most one row for each of LANGUAGES
     out = {name: {"low": 0.15, "pairs": 0.3, "often": 0.5} for name in LANGUAGES}
     for r in rows:
         glued = r.language in FUNCTION_SIGNS
+        more = MARGIN_OFTEN if glued else 0.0
         out[r.language] = {
-            "low": LOW * r.fun, "pairs": max(LEAST_PAIRS, r.pairs + MARGIN_PAIRS),
-            "often": max(LEAST_OFTEN_GLUED, r.often + 2 * MARGIN_OFTEN) if glued else max(LEAST_OFTEN, r.often + MARGIN_OFTEN),
+            "low": max(LEAST_LOW, LOW * r.fun[0]),
+            "pairs": max(LEAST_PAIRS, min(r.pairs[1] + MARGIN_PAIRS, r.pairs[0] + SPREAD_PAIRS, MOST_PAIRS)),
+            "often": max(LEAST_OFTEN_GLUED if glued else LEAST_OFTEN, min(r.often[1] + MARGIN_OFTEN + more, r.often[0] + SPREAD_OFTEN + more, MOST_OFTEN)),
         }
     out["other"] = {"low": 0.01, "pairs": 0.5, "often": 2.0}  # no function word at all: nothing to calibrate by
     return out
@@ -243,7 +250,9 @@ def calibrate(pages: DataFrame) -> dict[str, dict[str, float]]:
 
 #: Factor of a language's median share of function words below which a line lacks them; margins over the 90 % shares.
 LOW, MARGIN_PAIRS, MARGIN_OFTEN = MOST_LOW, 0.15, 0.15
-LEAST_PAIRS, LEAST_OFTEN, LEAST_OFTEN_GLUED, LEAST_WORDS = 0.2, 0.3, 0.6, 8
+#: What a threshold lies above the median share at most, and the highest thresholds.
+SPREAD_PAIRS, SPREAD_OFTEN, MOST_PAIRS, MOST_OFTEN = 0.35, 0.5, 0.5, 0.75
+LEAST_LOW, LEAST_PAIRS, LEAST_OFTEN, LEAST_OFTEN_GLUED, LEAST_WORDS = 0.1, 0.2, 0.3, 0.6, 8
 
 
 def junk_share(limits: dict[str, dict[str, float]]) -> Column:

@@ -53,6 +53,19 @@ def test_each_document_once_and_none(spark):
     assert s.stuffed_pages(spark.createDataFrame([(1, "kaufen " * 40_000)], "doc_id bigint, text string")).count() == 1
 
 
+def test_language_with_many_stuffed_pages(spark):
+    """Neither stuffed pages nor copies of one move a language's limits so far that they pass for its usual texts."""
+    goods = [f"{a}{b}" for a in "Garten Küchen Fahrrad Schuh Lampen Bett".split() for b in "zange brett kette riemen schirm gestell".split()]
+    dressed = lambda g: f"Wo {g} billig? {g} billig hier! Mehr {g} billig mit {g} Rabatt, weniger Kosten mit {g} Rabatt. Wer {g} billig sagt, meint {g} billig. Und {g} Rabatt: mit {g} billig wird {g} Rabatt neu."
+    fair = [PROSE["de"].format(f"{g} und {h}") for g in goods for h in goods[:3]]
+    many = [dressed(g) for g in goods]
+    for stuffed in (many + [many[0].replace("neu", "gut")] * (len(fair) * 3 // 7 - len(many)), many * 4):  # 30 % of the rows, more than half of them
+        df = spark.createDataFrame(list(enumerate(fair + stuffed)), "doc_id bigint, text string")
+        assert {r.doc_id for r in s.stuffed_pages(df).collect()} == set(range(len(fair), len(fair + stuffed)))
+    df = spark.createDataFrame(list(enumerate(fair[:20] + many)), "doc_id bigint, text string")  # mostly stuffed, all distinct
+    assert {r.doc_id for r in s.stuffed_pages(df).collect()} == set(range(20, 20 + len(many)))
+
+
 def test_measure():
     language, pairs, often, lines = s.measure(PROSE["de"].format("laut"))
     assert language == "de" and pairs == 0 and len(lines) == 1 and lines[0][2] > 0.3
