@@ -15,7 +15,7 @@ stuffed pages doesn't pass for one that is written so. A line is junk if it is l
 language while its words recur, stand between separators or don't end as a sentence; a whole text is junk if recurring pairs or
 words go well beyond what the language's texts reach (keywords strewn into sentences or dressed as such). A document is
 found if junk makes up at least ``share`` of it. Sentences and lines that are mere copies count once for the recurrence, so
-that refrains don't look like keywords.
+that refrains don't look like keywords; sentences that come three times and lack the function words are junk themselves.
 
 Null, empty and blank texts, and those of less than ``LEAST_WORDS`` words without links, are never found. Rows of one
 document count once. No labels are used; they serve the tests.
@@ -50,6 +50,7 @@ FUNCTION_WORDS = {
 FUNCTION_SIGNS = {"ja": "はがをにのともでだたかへっい", "zh": "的了在是我不你他着这那也却里很都和没个吗", "th": "ไม่ มี ที่ และ ว่า ใน แต่ แล้ว อยู่ หรือ ใกล้ ยัง ไป ของ"}
 
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_ALL = frozenset().union(*_SETS.values())
 _JA, _ZH, _TH = frozenset(FUNCTION_SIGNS["ja"]), frozenset(FUNCTION_SIGNS["zh"]), tuple(FUNCTION_SIGNS["th"].split())
 _TOP = "example|test|com|net|org|info|biz|shop|de|at|ch|io|fr|es|ru|cn|jp|co"
 _DOT = r"(?:\.|\s?\[\.\]\s?|\s\.\s|\s(?:punkt|dot|point|punto)\s)"
@@ -116,10 +117,18 @@ def _glued_share(words: list[str], language: str) -> float:
     return hits / len(words)
 
 
+def _lacks(words: list[str]) -> bool:
+    """Whether a sentence has next to no function words of any language: a page may quote another one."""
+    if any(map(_UNSPACED.match, words)):
+        return max(_glued_share(words, x) for x in FUNCTION_SIGNS) < LEAST_LOW
+    return sum(map(_ALL.__contains__, words)) < LEAST_LOW * len(words)
+
+
 def measure(text: str) -> tuple[str, float, float, list[tuple]]:
     """(language, share of recurring pairs, share of recurring words, lines) of a text. A line is (characters, link share,
     function share, share of recurring pairs, share of recurring words, separators a word, product marks a word, words, whether it
-    repeats an earlier line, whether it is a list entry, whether it ends like a sentence)."""
+    repeats an earlier line, whether it is a list entry, whether it ends like a sentence, share of its words in sentences that come three
+times in the text and lack function words)."""
     low = text.lower()
     lines: list[list] = [["", 0]]  # text without links, characters of links
     at = 0
@@ -138,7 +147,8 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
     kept = [x for x in lines if x[1] or x[0].strip()]
     find = (_WORD if _MARK.search(low) else _PLAIN_WORD).findall
     seen: set = set()
-    line_sentences, again = [], []
+    line_sentences, again, plains = [], [], []
+    copies: Counter = Counter()
     fresh: list[list[str]] = []
     for plain, linked in kept:
         if "<" in plain:
@@ -149,17 +159,27 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
             plain = plain[m.end() :]
         again.append(plain in seen and not linked)
         seen.add(plain)
+        plains.append(plain)
         sentences = [w for w in map(find, _SENTENCE.split(plain)) if w]
         line_sentences.append(sentences)
         for words in sentences:
             if (key := tuple(words)) not in seen:
                 seen.add(key)
                 fresh.append(words)
+            else:
+                copies[key] += 1
     singles = Counter(chain.from_iterable(fresh))
     language = _language(singles)
     known = _SETS.get(language, frozenset())
     for w in known & singles.keys():
         del singles[w]
+    copied = [0.0] * len(kept)
+    if copies and max(copies.values()) >= 2:  # by the text itself, as numbers aren't words: 'Kapitel 1.' and 'Kapitel 2.' are no copies
+        cut = [[(w, p.strip()) for p in _SENTENCE.split(plain) if (w := find(p))] for plain in plains]
+        times = Counter(p for line in cut for _, p in line)
+        for k, line in enumerate(cut):
+            if many := sum(len(w) for w, p in line if times[p] >= 3 and _lacks(w)):
+                copied[k] = many / sum(len(w) for w, _ in line)
     total = max(1, sum(singles.values()))
     often = {w for w, n in singles.items() if n >= 3 and n * 50 >= total}
     # only words that recur can be in pairs that do
@@ -169,7 +189,7 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
     starts = {a for a, _ in double}
     glued = language in FUNCTION_SIGNS
     rows, all_hits, all_often, count = [], 0, 0, 0
-    for x, sentences, repeated in zip(kept, line_sentences, again, strict=True):
+    for x, sentences, repeated, copy in zip(kept, line_sentences, again, copied, strict=True):
         n = hits = many = 0
         for words in sentences:
             n += len(words)
@@ -186,18 +206,18 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
         size = len(x[0].strip()) + x[1]
         d = max(1, n)
         if function > MOST_LOW:  # the marks of lists are asked for in lines without function words alone
-            rows.append((size, x[1] / size, function, hits / d, many / d, 0.0, 0.0, n, repeated, False, True))
+            rows.append((size, x[1] / size, function, hits / d, many / d, 0.0, 0.0, n, repeated, False, True, copy))
         else:
             marks = len(_PRODUCT.findall(x[0])) if _MARKED.search(x[0]) else 0
             rows.append((
                 size, x[1] / size, function, hits / d, many / d, len(_SEPARATOR.findall(x[0])) / d, marks / d, n, repeated,
-                not x[1] and len(x[0]) <= LONGEST_ENTRY and _ENTRY.match(x[0]) is not None, (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS,
+                not x[1] and len(x[0]) <= LONGEST_ENTRY and _ENTRY.match(x[0]) is not None, (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS, copy,
             ))
         all_hits, all_often, count = all_hits + hits, all_often + many, count + n
     return language, all_hits / max(1, count), all_often / max(1, count), rows
 
 
-_LINE_TYPE = pa.struct([("size", pa.int32()), ("link", pa.float32()), ("fun", pa.float32()), ("pairs", pa.float32()), ("often", pa.float32()), ("seps", pa.float32()), ("marks", pa.float32()), ("words", pa.int32()), ("again", pa.bool_()), ("entry", pa.bool_()), ("ended", pa.bool_())])
+_LINE_TYPE = pa.struct([("size", pa.int32()), ("link", pa.float32()), ("fun", pa.float32()), ("pairs", pa.float32()), ("often", pa.float32()), ("seps", pa.float32()), ("marks", pa.float32()), ("words", pa.int32()), ("again", pa.bool_()), ("entry", pa.bool_()), ("ended", pa.bool_()), ("copied", pa.float32())])
 
 
 def measure_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,7 +238,7 @@ def measure_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], names)
 
     kind = source.schema["k"].dataType.simpleString()
-    line = "size:int,link:float,fun:float,pairs:float,often:float,seps:float,marks:float,words:int,again:boolean,entry:boolean,ended:boolean"
+    line = "size:int,link:float,fun:float,pairs:float,often:float,seps:float,marks:float,words:int,again:boolean,entry:boolean,ended:boolean,copied:float"
     return source.mapInArrow(run, f"k {kind}, copy bigint, language string, pairs float, often float, lines array<struct<{line}>>").withColumnRenamed("k", key)
 
 
@@ -275,7 +295,9 @@ def junk_share(limits: dict[str, dict[str, float]]) -> Column:
         return (x["link"] >= 0.5) | worded
 
     total = F.greatest(_sum("lines", lambda x: x["size"].cast("double")), F.lit(1.0))
-    lines = _sum("lines", lambda x: F.when(is_junk(x), x["size"].cast("double")).otherwise(0.0)) / total
+    # copies without function words are keywords, ended or not and whatever stands beside them in the line; refrains have function words
+    copied = lambda x: F.when((words >= LEAST_WORDS) & ~x["entry"], x["copied"].cast("double")).otherwise(0.0)
+    lines = _sum("lines", lambda x: x["size"] * F.when(is_junk(x), F.lit(1.0)).otherwise(copied(x))) / total
     listed = _sum("lines", lambda x: F.when(x["entry"] & (x["pairs"] < 0.5), x["size"].cast("double")).otherwise(0.0)) / total
     strewn = (words >= LEAST_WORDS) & ((F.col("pairs") >= of("pairs")) | ((F.col("often") >= of("often")) & (listed < 0.5)))
     return F.when(strewn, F.greatest(lines, F.lit(1.0))).otherwise(lines)

@@ -66,6 +66,27 @@ def test_language_with_many_stuffed_pages(spark):
     assert {r.doc_id for r in s.stuffed_pages(df).collect()} == set(range(20, 20 + len(many)))
 
 
+def test_copies_that_end_like_sentences(spark):
+    keywords = {
+        "lines": "Hörbuch günstig kaufen!\n" * 500,
+        "line": "Hörbuch günstig kaufen. " * 500,
+        "turns": "Hörbuch günstig kaufen! Stimme klonen lassen! MP3 gratis laden! " * 6,
+        "beside prose": "Der Mann ging in die Stadt und kam nicht mehr zu dem Haus. " + "Hörbuch günstig kaufen. " * 8,
+        "en": "Cheap audiobook download!\n" * 20,
+        "zh": "有声书便宜购买！" * 40,
+    }
+    fair = {
+        "refrain": FAIR["refrain"] + "\n" + "Und der Regen fiel auf das alte Dach.\n" * 6,
+        "called": "Kling, Glöckchen, kling!\n".join(PROSE["de"].format(n) + "\n" for n in "Anna Bert Carl Dora".split()),
+        "chapters": "\n".join(f"Kapitel {i}. Der Weg nach Haus." for i in range(1, 12)),
+        "numbers": "\n".join(f"Kapitel {i}." for i in range(1, 12)),
+        "twice": "Halle Saale Bahnhof Süd Eingang Ost. " * 2,
+    }
+    df = spark.createDataFrame([(i, PROSE["de"].format(i)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(keywords.values())] + [(200 + i, t) for i, t in enumerate(fair.values())], "doc_id bigint, text string")
+    got = {r.doc_id for r in s.stuffed_pages(df).collect()}
+    assert got == {100 + i for i in range(len(keywords))}
+
+
 def test_measure():
     language, pairs, often, lines = s.measure(PROSE["de"].format("laut"))
     assert language == "de" and pairs == 0 and len(lines) == 1 and lines[0][2] > 0.3
