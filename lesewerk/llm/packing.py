@@ -18,6 +18,7 @@ with nothing.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts in which the ranks of a class are counted, and classes that one packing step holds.
-SALTS, BLOCK_CLASSES = 64, 8192
+SALTS, BLOCK_CLASSES = 64, 1 << 18
 
 
 def best_fit(classes: list[tuple[int, int, int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -76,9 +77,14 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(9)]
         for row in batch.to_pylist():
             bits: tuple[dict, dict] = {}, {}
-
-            def bit(which: int, key, bits=bits) -> int:
-                return -1 if key is None else bits[which].setdefault(key, len(bits[which]))
+            # a source or cluster of one item conflicts with nothing and takes no bit: the bitmaps of large groups stay short
+            items: tuple[Counter, Counter] = Counter(), Counter()
+            for m in row["members"]:
+                items[0][m["src"]] += m["n"]
+                items[1][m["clu"]] += m["n"]
+
+            def bit(which: int, key, bits=bits, items=items) -> int:
+                return -1 if key is None or items[which][key] < 2 else bits[which].setdefault(key, len(bits[which]))
 
             members = sorted(row["members"], key=lambda m: (m["size"], m["src"] is not None, m["src"] or 0, m["clu"] is not None, m["clu"] or 0))
             runs, bins = best_fit([(m["size"], bit(0, m["src"]), bit(1, m["clu"]), m["n"]) for m in members], row["cap"])

@@ -98,3 +98,21 @@ def test_hot_group_is_packed_as_well_as_alone(spark):
     df = spark.createDataFrame([("g", i, s, 100) for i, s in enumerate(sizes)], "g string, i bigint, size int, capacity int")
     takes = p.pack(df, "g", "i", "size", "capacity").select("take_no").distinct().count()
     assert takes == plain_best_fit([(s, -1, -1) for s in sorted(sizes, reverse=True)], 100) and takes <= 1.03 * sum(sizes) / 100 + 1
+
+
+def test_large_group_with_conflicts_is_searched_whole(spark):
+    """More than 8,192 classes: the takes are those of one search over all bins of the group."""
+    random.seed(7)
+    items = [("g", i, random.randint(10, 220), 232, i % 700, i if i % 40 else 0) for i in range(12_000)]
+    df = spark.createDataFrame(items, "g string, i bigint, size int, capacity int, src int, clu int")
+    rows = p.pack(df, "g", "i", "size", "capacity", source="src", cluster="clu").collect()
+    check(rows, [x[:5] for x in items])
+    of = {i: (s, c) for _, i, _, _, s, c in items}
+    for k in (0, 1):
+        assert len({(r.take_no, of[r.i][k]) for r in rows}) == len(rows)
+    # the same classes in one call, with a bit for every source and cluster
+    classes = sorted(collections.Counter(x[2:3] + x[4:] for x in items).items())
+    whole = p.best_fit([(*c, n) for c, n in classes], 232)[1]
+    blocks = len({r.take_no for r in p.pack(df, "g", "i", "size", "capacity", source="src", cluster="clu", block_classes=1000).collect()})
+    takes = len({r.take_no for r in rows})
+    assert takes <= 1.002 * whole and takes < blocks and p.BLOCK_CLASSES >= 80_000
