@@ -27,6 +27,8 @@ from lesewerk.llm.bpe import count_tokens
 from lesewerk.llm.common import fold_lang, fold_name, small_rows
 from lesewerk.session import ensure_checkpoint_dir
 
+#: A total of all tokens of the weighted sources: short sources are redistributed.
+CORPUS = "corpus"
 #: Leaves and weights that the driver plans with at most; more are an error, never cut.
 MOST_LEAVES = 100_000
 #: Buckets of hash values in which a leaf's running token sum is kept.
@@ -112,15 +114,17 @@ def counted_documents(documents: DataFrame, weights: dict[str, tuple[float, int]
     return counted.select("doc_id", *[f"d.{x}" for x in levels], "d.n_tokens").where("n_tokens > 0").checkpoint()
 
 
-def mix(documents: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 17, ranks_path: str | None = None, levels: tuple[str, ...] = ("source", "lang")) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, weights: DataFrame, total: float | str | None = None, seed: int = 17, ranks_path: str | None = None, levels: tuple[str, ...] = ("source", "lang")) -> tuple[DataFrame, DataFrame]:
     """(mixture, report). The mixture has a row (doc_id, levels, n_tokens, epoch, tokens_used, place) for each use of a document,
     ``place`` being its seeded place in the epoch; the report a row for each weighted source with target and reached share.
-    ``levels`` are columns of ``documents``, from the root on, and hold 'source'."""
+    ``total`` is in tokens, or CORPUS for as many as the weighted sources have. ``levels`` are columns of ``documents``, from the root on, and hold 'source'."""
     spark = documents.sparkSession
     keys = list(levels)
     by_source = weight_rows(weights)
     counted = counted_documents(documents, by_source, levels, ranks_path)
     leaves = small_rows(counted.groupBy(*keys).agg(F.sum("n_tokens").alias("n")), MOST_LEAVES, "leaves")
+    if total == CORPUS:
+        total = float(sum(r.n for r in leaves if by_source[r.source][0] > 0))
     root = plan([tuple(r) for r in leaves], by_source, total, levels.index("source"))
     rows = []
     for leaf in leaves_of(root):

@@ -160,6 +160,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[1]
 
 
+def p7_mixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the weighted sources have: what short sources can't give is redistributed."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), total=mixing.CORPUS)[0]
+
+
+def p7_shares_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), total=mixing.CORPUS)[1]
+
+
 # ---- 8 stuffed pages
 
 
@@ -171,6 +180,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p2_found, p2_forms, p3_takes, p3_takes_varied, p4_found, p4_units, p5_found, p5_cer, p5_similarity, p5_similarity_by_voice, p5_variants,
-        p6_ids, p7_mixture, p7_shares, p8_found,
+        p6_ids, p7_mixture, p7_shares, p7_mixture_corpus, p7_shares_corpus, p8_found,
     )
 }

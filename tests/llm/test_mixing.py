@@ -71,3 +71,23 @@ def test_larger_total_uses_every_repeat(spark):
     three = m.mix(df.selectExpr("*", "'Web ' AS domain"), w, levels=("domain", "lang", "source"))
     assert {(r.domain, r.lang, r.source) for r in three[0].collect()} == {("web", "de", "a"), ("web", "de", "b")} and three[1].count() == 2
     assert m.mix(df.limit(0), w)[0].count() == 0 and m.mix(df, w.limit(0))[1].count() == 0
+
+
+def test_corpus_total_redistributes_short_sources(spark):
+    """One short source doesn't set the size of the mixture: the others take its share, and targets stand beside reached shares."""
+    docs = [(i, f"Ein Satz mit der Nummer {i} steht hier.", "ab"[i % 2], "de") for i in range(200)] + [(900, "kurz", "c", "de"), (901, "x y z", "unweighted", "de"), (902, "x y z", "zero", "de")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string")
+    w = spark.createDataFrame([("a", 0.48, 2), ("b", 0.48, 2), ("c", 0.04, 5), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
+    by_default, whole = ({r.source: r for r in m.mix(df, w, total=t)[1].collect()} for t in (None, m.CORPUS))
+    tokens = sum(r.n_tokens for r in bpe.count_tokens(df.where("source in ('a', 'b', 'c')").select("doc_id", "text")).collect())
+    assert sum(r.tokens for r in whole.values()) == pytest.approx(tokens, abs=3) and sum(r.tokens for r in by_default.values()) < tokens / 5
+    assert whole["c"].most_uses == 5 and whole["c"].reached_share < 0.04 < 0.48 < min(whole["a"].reached_share, whole["b"].reached_share)
+
+
+def test_corpus_queries(spark, sf_dir):
+    from lesewerk.llm.queries import QUERIES
+
+    shares = {r.source: r for r in QUERIES["p7_shares_corpus"](spark, sf_dir).collect()}
+    fewer = {r.source: r for r in QUERIES["p7_shares"](spark, sf_dir).collect()}
+    assert set(shares) == set(fewer) and sum(r.tokens for r in shares.values()) > sum(r.tokens for r in fewer.values())
+    assert sum(r.reached_share for r in shares.values()) == pytest.approx(1)
