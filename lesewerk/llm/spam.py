@@ -117,6 +117,10 @@ def _glued_share(words: list[str], language: str) -> float:
     return hits / len(words)
 
 
+def _is_entry(line: list) -> bool:
+    return not line[1] and len(line[0]) <= LONGEST_ENTRY and _ENTRY.match(line[0]) is not None
+
+
 def _lacks(words: list[str]) -> bool:
     """Whether a sentence has next to no function words of any language: a page may quote another one."""
     if any(map(_UNSPACED.match, words)):
@@ -211,9 +215,13 @@ times in the text and lack function words)."""
             marks = len(_PRODUCT.findall(x[0])) if _MARKED.search(x[0]) else 0
             rows.append((
                 size, x[1] / size, function, hits / d, many / d, len(_SEPARATOR.findall(x[0])) / d, marks / d, n, repeated,
-                not x[1] and len(x[0]) <= LONGEST_ENTRY and _ENTRY.match(x[0]) is not None, (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS, copy,
+                _is_entry(x), (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS, copy,
             ))
         all_hits, all_often, count = all_hits + hits, all_often + many, count + n
+    if all_often >= (LEAST_OFTEN - 0.001) * max(1, count):  # such a page may be a list, and its entries may have many function words
+        for k, x in enumerate(kept):
+            if rows[k][2] > MOST_LOW:
+                rows[k] = (*rows[k][:9], _is_entry(x), *rows[k][10:])
     return language, all_hits / max(1, count), all_often / max(1, count), rows
 
 

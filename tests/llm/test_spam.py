@@ -87,6 +87,13 @@ def test_copies_that_end_like_sentences(spark):
     assert got == {100 + i for i in range(len(keywords))}
 
 
+def test_entries_with_many_function_words():
+    """Lines of a page with many recurring words are asked for entries, whatever their share of function words."""
+    lines = s.measure("\n".join(f"{i}. 我的了，{c}在的" for i, c in enumerate("山水火木金土日月星云", 1)))[3]
+    words = s.measure("\n".join(f"{i:02} Der Hof und der Hof {n} {i}:4{i}" for i, n in enumerate("Aach Bonn Celle Essen Fulda Gera".split(), 1)))[3]
+    assert all(x[2] > s.MOST_LOW and x[9] for x in lines + words)
+
+
 def test_measure():
     language, pairs, often, lines = s.measure(PROSE["de"].format("laut"))
     assert language == "de" and pairs == 0 and len(lines) == 1 and lines[0][2] > 0.3
