@@ -60,7 +60,9 @@ _LINK = re.compile(
     rf"<a\s[^>]{{0,2000}}>.{{0,2000}}?</a>|!?\[[^\]\n]{{0,300}}\]\([^)\s]{{0,2000}}\)|\[url[^\]]{{0,2000}}\].{{0,2000}}?\[/url\]|(?:https?://|ftp://|www\.)[^\s<>\")\]]+(?:{_DOT}[^\s<>\")\]]+)*|(?:\b[\w-]{{1,63}}{_DOT}){{1,4}}(?:{_TOP})\b(?:/[^\s<>\")\]]*(?:{_DOT}html?)?)?", re.S)
 #: Without one of these a text has no link. Both begin with something rare, so that most texts are passed over fast.
 _ADDRESS = re.compile(rf"\.(?:{_TOP})\b")
-_LINK_SIGNS = ("http", "ftp:", "www", "<a", "](", "[url", "[.]", " . ", " punkt ", " dot ", " point ", " punto ")
+_LINK_SIGNS = ("http", "ftp:", "www", "<a", "](", "[url", "[.]")
+#: Points between white space of any kind, and such points as words, with the words themselves.
+_LONE_POINT, _POINT_WORD, _POINT_WORDS = re.compile(r"\.\s(?<=\s\.\s)"), re.compile(r"(?:punkt|dot|point|punto)\s"), ("punkt", "dot", "point", "punto")
 _TAG = re.compile(r"<[^<>]{1,200}>")
 #: Letters with the marks that follow them.
 _WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])*")
@@ -117,6 +119,13 @@ def _glued_share(words: list[str], language: str) -> float:
     return hits / len(words)
 
 
+def _may_link(low: str) -> bool:
+    """Whether a lower-case text can have links at all."""
+    if any(x in low for x in _LINK_SIGNS) or _ADDRESS.search(low) or _LONE_POINT.search(low):
+        return True
+    return any(x in low for x in _POINT_WORDS) and any(low[m.start() - 1 : m.start()].isspace() for m in _POINT_WORD.finditer(low))
+
+
 def _is_entry(line: list) -> bool:
     return not line[1] and len(line[0]) <= LONGEST_ENTRY and _ENTRY.match(line[0]) is not None
 
@@ -136,7 +145,7 @@ times in the text and lack function words)."""
     low = text.lower()
     lines: list[list] = [["", 0]]  # text without links, characters of links
     at = 0
-    if any(x in low for x in _LINK_SIGNS) or _ADDRESS.search(low):
+    if _may_link(low):
         for m in _LINK.finditer(low):  # links stay whole: their inside isn't cut into lines
             for k, part in enumerate(_lines(low[at : m.start()])):
                 if k:

@@ -94,6 +94,12 @@ def test_entries_with_many_function_words():
     assert all(x[2] > s.MOST_LOW and x[9] for x in lines + words)
 
 
+@pytest.mark.parametrize("gap", ["\u00a0", "\t", "\n", "\u2003", " "])
+@pytest.mark.parametrize("point", ["punkt", "dot", "point", "punto", "."])
+def test_addresses_with_any_white_space(gap, point):
+    assert [x[1] for x in s.measure(f"shop{gap}{point}{gap}de")[3]] == [1.0]
+
+
 def test_measure():
     language, pairs, often, lines = s.measure(PROSE["de"].format("laut"))
     assert language == "de" and pairs == 0 and len(lines) == 1 and lines[0][2] > 0.3
