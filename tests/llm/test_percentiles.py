@@ -52,7 +52,7 @@ def test_partial_results_combine(spark):
 
 def test_without_groups(spark):
     df = spark.createDataFrame([(float(x),) for x in range(11)], "v double")
-    r = p.percentiles(p.partial_counts(df, [], "v", width=2.0), [], {"m": 0.5, "q": 0.33}).first()
+    r = p.percentiles(p.partial_counts(df, [], "v", cells=2), [], {"m": 0.5, "q": 0.33}).first()
     assert r.n == 11 and r.m == 5.0 and abs(r.q - 3.3) < 1e-9
 
 
@@ -69,3 +69,27 @@ def test_found_by_brute_force(spark, tmp_path):
     spark.createDataFrame(chunks, "chunk_id bigint, project_id string, cer double, saved_at string").withColumn("saved_at", F.col("saved_at").cast("timestamp_ntz")).write.parquet(str(tmp_path / "chunks.parquet"))
     spark.createDataFrame(variants, "variant_id bigint, project_id string, status string, median_cer double").write.parquet(str(tmp_path / "variants.parquet"))
     assert sorted(r.variant_id for r in p5_found(spark, str(tmp_path)).collect()) == [2, 4, 7]
+
+
+def test_ranges_rise_with_the_value(spark):
+    import random
+
+    random.seed(1)
+    values = [0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, -1.0] + [random.choice((1, -1)) * 10 ** random.uniform(-300, 300) for _ in range(500)] + [random.random() for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", p.range_of(F.col("v")).alias("r")).orderBy("v").collect()
+    assert all(a.r <= b.r for a, b in zip(rows, rows[1:]))
+    assert {r.v: r.r for r in rows}[0.0] == 0
+
+
+def test_nine_orders_of_magnitude_and_a_hot_range(spark):
+    """Values of many magnitudes and many values close together: exact, with few distinct values in any range."""
+    random.seed(2)
+    data = [("wide", 10 ** random.uniform(-3, 6)) for _ in range(4000)] + [("hot", 0.1 + random.random() / 50) for _ in range(4000)] + [("bytes", float(random.randrange(10**9, 10**12))) for _ in range(2000)]
+    df = spark.createDataFrame(data, "g string, v double")
+    partial = p.partial_counts(df, ["g"], "v")
+    got = {r.g: r for r in p.percentiles(partial, ["g"], TARGETS).collect()}
+    for g in ("wide", "hot", "bytes"):
+        of = [v for h, v in data if h == g]
+        for t, q in TARGETS.items():
+            assert math.isclose(got[g][t], np.quantile(of, q), rel_tol=1e-12)
+    assert max(r.n for r in partial.groupBy("g", "range_no").agg(F.count("*").alias("n")).collect()) < 40
