@@ -95,7 +95,7 @@ MOST_LOW = 0.45
 
 def _language(words: Counter) -> str:
     """The language whose function words make up most of a text; by script where that is enough."""
-    unspaced = [w for w in words if w >= "฀" and _UNSPACED.match(w)]
+    unspaced = [w for w in words if w >= "฀" and _UNSPACED.match(w)] if words and max(words) >= "฀" else ()
     if unspaced:
         glued = sum(words[w] * len(w) for w in unspaced)
         if glued > 3 * (sum(words.values()) - sum(words[w] for w in unspaced)):
@@ -104,8 +104,9 @@ def _language(words: Counter) -> str:
                 return "th"
             return "ja" if sum("぀" <= c <= "ヿ" for c in sample) * 8 > len(sample) else "zh"
     best, most = "other", 0
+    common = _ALL.intersection(words)
     for name, known in _SETS.items():
-        if (n := sum(words[w] for w in known & words.keys())) > most:
+        if (n := sum(map(words.__getitem__, known & common))) > most:
             best, most = name, n
     return best
 
@@ -141,7 +142,23 @@ def measure(text: str) -> tuple[str, float, float, list[tuple]]:
     """(language, share of recurring pairs, share of recurring words, lines) of a text. A line is (characters, link share,
     function share, share of recurring pairs, share of recurring words, separators a word, product marks a word, words, whether it
     repeats an earlier line, whether it is a list entry, whether it ends like a sentence, share of its words in sentences that come three
-times in the text and lack function words)."""
+    times in the text and lack function words)."""
+    language, pairs, often, rows, _ = _measure(text)
+    return language, pairs, often, [(*r[:9], bool(r[9]), *r[10:]) for r in rows]
+
+
+def summed(text: str) -> tuple[str, float, float, int, float, int, float, list[tuple]]:
+    """(language, pairs, often, characters, characters times function share, words, words times function share, lines): the sums are over
+    all lines, the lines are those that can be junk or entries of a list under any thresholds. Prose that ends its sentences has none."""
+    language, pairs, often, rows, list_like = _measure(text)
+    size, words = sum(r[0] for r in rows), sum(r[7] for r in rows)
+    by_size, by_words = sum(r[0] * r[2] for r in rows), sum(r[7] * r[2] for r in rows)
+    kept = [(*r[:9], bool(r[9]), *r[10:]) for r in rows if list_like or r[9] is not None or r[1] > 0.49 or r[6] > 0.079 or r[11]]
+    return language, pairs, often, size, by_size, words, by_words, kept
+
+
+def _measure(text: str) -> tuple[str, float, float, list[tuple], bool]:
+    """``measure``, and whether the page's words recur as in a list; a line that wasn't asked whether it is an entry has None there."""
     low = text.lower()
     lines: list[list] = [["", 0]]  # text without links, characters of links
     at = 0
@@ -160,7 +177,7 @@ times in the text and lack function words)."""
     kept = [x for x in lines if x[1] or x[0].strip()]
     find = (_WORD if _MARK.search(low) else _PLAIN_WORD).findall
     seen: set = set()
-    line_sentences, again, plains = [], [], []
+    line_sentences, line_parts, again = [], [], []
     copies: Counter = Counter()
     fresh: list[list[str]] = []
     for plain, linked in kept:
@@ -172,8 +189,13 @@ times in the text and lack function words)."""
             plain = plain[m.end() :]
         again.append(plain in seen and not linked)
         seen.add(plain)
-        plains.append(plain)
-        sentences = [w for w in map(find, _SENTENCE.split(plain)) if w]
+        parts = _SENTENCE.split(plain)
+        found = list(map(find, parts))
+        if not all(found):
+            parts = [p for p, w in zip(parts, found, strict=True) if w]
+            found = list(filter(None, found))
+        sentences = found
+        line_parts.append(parts)
         line_sentences.append(sentences)
         for words in sentences:
             if (key := tuple(words)) not in seen:
@@ -184,79 +206,84 @@ times in the text and lack function words)."""
     singles = Counter(chain.from_iterable(fresh))
     language = _language(singles)
     known = _SETS.get(language, frozenset())
-    for w in known & singles.keys():
-        del singles[w]
+    singles = {w: n for w, n in singles.items() if w not in known}
     copied = [0.0] * len(kept)
     if copies and max(copies.values()) >= 2:  # by the text itself, as numbers aren't words: 'Kapitel 1.' and 'Kapitel 2.' are no copies
-        cut = [[(w, p.strip()) for p in _SENTENCE.split(plain) if (w := find(p))] for plain in plains]
-        times = Counter(p for line in cut for _, p in line)
-        for k, line in enumerate(cut):
-            if many := sum(len(w) for w, p in line if times[p] >= 3 and _lacks(w)):
-                copied[k] = many / sum(len(w) for w, _ in line)
+        line_parts = [[p.strip() for p in parts] for parts in line_parts]
+        times = Counter(chain.from_iterable(line_parts))
+        for k, (parts, sentences) in enumerate(zip(line_parts, line_sentences, strict=True)):
+            if many := sum(len(w) for p, w in zip(parts, sentences, strict=True) if times[p] >= 3 and _lacks(w)):
+                copied[k] = many / sum(map(len, sentences))
     total = max(1, sum(singles.values()))
-    often = {w for w, n in singles.items() if n >= 3 and n * 50 >= total}
     # only words that recur can be in pairs that do
     recurring = {w for w, n in singles.items() if n >= 3}
+    often = {w for w in recurring if singles[w] * 50 >= total}
     pairs = Counter(p for words in fresh if not recurring.isdisjoint(words) for p in zip(words, words[1:]) if p[0] in recurring and p[1] in recurring) if recurring else Counter()
     double = {p for p, n in pairs.items() if n >= 3}
     starts = {a for a, _ in double}
-    glued = language in FUNCTION_SIGNS
+    glued, marked = language in FUNCTION_SIGNS, _MARKED.search(low) is not None
     rows, all_hits, all_often, count = [], 0, 0, 0
     for x, sentences, repeated, copy in zip(kept, line_sentences, again, copied, strict=True):
-        n = hits = many = 0
-        for words in sentences:
-            n += len(words)
-            if often:
-                many += sum(map(often.__contains__, words))
-            if double and not starts.isdisjoint(words) and True in (flags := list(map(double.__contains__, zip(words, words[1:])))):
-                hits += sum(map(or_, [False, *flags], [*flags, False]))
+        words = sentences[0] if len(sentences) == 1 else list(chain.from_iterable(sentences))
+        n, hits = len(words), 0
+        many = sum(map(often.__contains__, words)) if often else 0
+        if double and not starts.isdisjoint(words):
+            for within in sentences:
+                if not starts.isdisjoint(within) and True in (flags := list(map(double.__contains__, zip(within, within[1:])))):
+                    hits += sum(map(or_, [False, *flags], [*flags, False]))
         function = 0.0
         if n:
             if glued:
-                function = _glued_share([w for words in sentences for w in words], language)
+                function = _glued_share(words, language)
             elif known:
-                function = sum(map(known.__contains__, chain.from_iterable(sentences))) / n
+                function = sum(map(known.__contains__, words)) / n
         size = len(x[0].strip()) + x[1]
         d = max(1, n)
         if function > MOST_LOW:  # the marks of lists are asked for in lines without function words alone
-            rows.append((size, x[1] / size, function, hits / d, many / d, 0.0, 0.0, n, repeated, False, True, copy))
+            rows.append((size, x[1] / size, function, hits / d, many / d, 0.0, 0.0, n, repeated, None, True, copy))
         else:
-            marks = len(_PRODUCT.findall(x[0])) if _MARKED.search(x[0]) else 0
-            rows.append((
-                size, x[1] / size, function, hits / d, many / d, len(_SEPARATOR.findall(x[0])) / d, marks / d, n, repeated,
-                _is_entry(x), (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS, copy,
-            ))
+            marks = len(_PRODUCT.findall(x[0])) if marked and _MARKED.search(x[0]) else 0
+            ended = (end := x[0].rstrip(_CLOSERS)[-1:]) != "" and end in _ENDS
+            # separators count where words recur, and being an entry where anything else speaks for junk
+            seps = len(_SEPARATOR.findall(x[0])) / d if many else 0.0
+            entry = _is_entry(x) if not ended or copy or many > 0.34 * d or hits > 0.29 * d else None
+            rows.append((size, x[1] / size, function, hits / d, many / d, seps, marks / d, n, repeated, entry, ended, copy))
         all_hits, all_often, count = all_hits + hits, all_often + many, count + n
-    if all_often >= (LEAST_OFTEN - 0.001) * max(1, count):  # such a page may be a list, and its entries may have many function words
-        for k, x in enumerate(kept):
-            if rows[k][2] > MOST_LOW:
-                rows[k] = (*rows[k][:9], _is_entry(x), *rows[k][10:])
-    return language, all_hits / max(1, count), all_often / max(1, count), rows
+    # a page whose words recur may be a list, and then all its lines are asked
+    list_like = all_often >= (LEAST_OFTEN - 0.001) * max(1, count)
+    if list_like:
+        rows = [r if r[9] is not None else (*r[:9], _is_entry(x), *r[10:]) for r, x in zip(rows, kept, strict=True)]
+    return language, all_hits / max(1, count), all_often / max(1, count), rows, list_like
 
 
 _LINE_TYPE = pa.struct([("size", pa.int32()), ("link", pa.float32()), ("fun", pa.float32()), ("pairs", pa.float32()), ("often", pa.float32()), ("seps", pa.float32()), ("marks", pa.float32()), ("words", pa.int32()), ("again", pa.bool_()), ("entry", pa.bool_()), ("ended", pa.bool_()), ("copied", pa.float32())])
 
 
+_SUMS = [("pairs", pa.float32()), ("often", pa.float32()), ("size", pa.int64()), ("by_size", pa.float64()), ("words", pa.int64()), ("by_words", pa.float64())]
+
+
 def measure_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, copy, language, pairs, often, lines) of the documents that aren't blank; ``copy`` is the same for the same text."""
+    """(key, copy, language, pairs, often, size, by_size, words, by_words, lines) of the documents that aren't blank; ``copy`` is the same
+    for the same text."""
     source = documents.select(F.col(key).alias("k"), F.xxhash64(text).alias("copy"), F.col(text).alias("t")).where("k is not null and t is not null and trim(t) != ''")
-    names = ["k", "copy", "language", "pairs", "often", "lines"]
+    names = ["k", "copy", "language", *[n for n, _ in _SUMS], "lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [measure(t) for t in batch.column(2).to_pylist()]
-            flat = [r for x in got for r in x[3]]
+            got = [summed(t) for t in batch.column(2).to_pylist()]
+            flat = [r for x in got for r in x[-1]]
             offsets = [0]
             for x in got:
-                offsets.append(offsets[-1] + len(x[3]))
+                offsets.append(offsets[-1] + len(x[-1]))
             columns = list(zip(*flat, strict=True)) if flat else [[] for _ in _LINE_TYPE]
             inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINE_TYPE, strict=True)], fields=list(_LINE_TYPE))
-            rest = [pa.array([x[k] for x in got], t) for k, t in enumerate((pa.string(), pa.float32(), pa.float32()))]
+            rest = [pa.array([x[k] for x in got], t) for k, t in enumerate([pa.string(), *[t for _, t in _SUMS]])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], names)
 
     kind = source.schema["k"].dataType.simpleString()
     line = "size:int,link:float,fun:float,pairs:float,often:float,seps:float,marks:float,words:int,again:boolean,entry:boolean,ended:boolean,copied:float"
-    return source.mapInArrow(run, f"k {kind}, copy bigint, language string, pairs float, often float, lines array<struct<{line}>>").withColumnRenamed("k", key)
+    schema = f"k {kind}, copy bigint, language string, pairs float, often float, size bigint, by_size double, words bigint, by_words double, lines array<struct<{line}>>"
+    return source.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def _sum(lines: str, value) -> Column:
@@ -269,7 +296,7 @@ def calibrate(pages: DataFrame) -> dict[str, dict[str, float]]:
     Stuffed pages move the 90 % shares as soon as they are a tenth of a language, so these count only as far as they stay near
     the median, which takes half of the texts to move, and below a fixed share, which nothing moves.
     """
-    share = _sum("lines", lambda x: x["fun"] * x["size"]) / F.greatest(_sum("lines", lambda x: x["size"].cast("double")), F.lit(1.0))
+    share = F.col("by_size") / F.greatest(F.col("size"), F.lit(1))
     texts = pages.select("language", "copy", share.alias("fun"), "pairs", "often").dropDuplicates(["language", "copy"])
     rows = texts.groupBy("language").agg(*[F.percentile_approx(c, [0.5, 0.9], 10000).alias(c) for c in ("fun", "pairs", "often")]).collect()  # at most one row for each of LANGUAGES
     out = {name: {"low": 0.15, "pairs": 0.3, "often": 0.5} for name in LANGUAGES}
@@ -296,9 +323,9 @@ def junk_share(limits: dict[str, dict[str, float]]) -> Column:
     """Share of junk in a page of ``measure_pages``, by the thresholds of its language."""
     of = lambda name: F.coalesce(F.create_map(*[F.lit(x) for lang, t in sorted(limits.items()) for x in (lang, t[name])])[F.col("language")], F.lit(limits["other"][name]))
     low = of("low")
-    words = F.aggregate("lines", F.lit(0), lambda a, x: a + x["words"])
+    words = F.col("words")
     # a text that as a whole has next to no function words: captions and keywords, a stray word may fit some language
-    bare = (F.col("language") == "other") | (_sum("lines", lambda x: x["fun"] * x["words"]) / F.greatest(words, F.lit(1)) < low / 2) & (words >= 12)
+    bare = (F.col("language") == "other") | (F.col("by_words") / F.greatest(words, F.lit(1)) < low / 2) & (words >= 12)
 
     # a line needs no less than a whole text of its language
     line_often = F.when(F.col("language") == "other", 0.35).otherwise(F.greatest(F.lit(0.35), of("often")))
@@ -311,7 +338,7 @@ def junk_share(limits: dict[str, dict[str, float]]) -> Column:
         worded = (words >= LEAST_WORDS) & lacks & ((x["marks"] >= 0.08) | (~(x["entry"] & (x["pairs"] < 0.5)) & (recurs | listed)))
         return (x["link"] >= 0.5) | worded
 
-    total = F.greatest(_sum("lines", lambda x: x["size"].cast("double")), F.lit(1.0))
+    total = F.greatest(F.col("size").cast("double"), F.lit(1.0))
     # copies without function words are keywords, ended or not and whatever stands beside them in the line; refrains have function words
     copied = lambda x: F.when((words >= LEAST_WORDS) & ~x["entry"], x["copied"].cast("double")).otherwise(0.0)
     lines = _sum("lines", lambda x: x["size"] * F.when(is_junk(x), F.lit(1.0)).otherwise(copied(x))) / total
