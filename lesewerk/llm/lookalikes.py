@@ -5,9 +5,12 @@ letters of one script that look like letters of another. Each token is then a la
 all members of its class. A Viterbi search takes the path with the best character bigram score, in which a change of script
 inside a token costs more than any bigram can win. The bigrams are counted over all given rows.
 
-The search sees only the classes of a token and the script that the whole text's unmistakable letters belong to, both of
-which look-alike variants share. So two texts come out equal exactly if their displayed characters are the same, whatever the
-counts are; the counts only choose the spelling.
+The letter that was observed has no weight of its own: any weight would let two variants of one token end in different forms.
+So the search sees what all variants share, the classes of a token and the script that the whole text's unmistakable letters
+belong to, and two texts come out equal exactly if their displayed characters are the same; the counts choose the spelling.
+
+Classes hold letters of identical shape alone. Letters that are merely alike (Greek alpha, rho, tau, kappa; Latin alpha) stay
+apart, as a reader can tell them. Letters above U+0590 have no counts; there the script decides.
 
 Kept apart: case, accents, raised and lowered digits, fractions, circled signs and punctuation that looks different, and the
 number of spaces. Made equal: kinds of space, width, coding of accents and of joined letters, code blocks of identically
@@ -16,6 +19,7 @@ shaped signs. Null stays null, the empty string stays empty.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lesewerk.llm.common import small_rows
+
 # Classes of letters that have the same shape, Latin member first, then those of other scripts.
 CLASSES = """
-aа cсϲ dԁ eе hһ iі jјϳ oоοօ pр qԛ sѕ uս vν wԝ xх yу gɡց əә
-AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜ NΝ OОΟՕ PРΡ QԚ SЅՏ TТΤ UՍ VѴ WԜ XХΧ YҮΥ ZΖ ƏӘ
+aа cсϲⲥ dԁ eе hһհ iі jјϳյ nո oоοօⲟ pрⲣ qԛզ sѕ uս vν wԝ xх yу gɡց əә
+AАΑᎪⲀꓮ BВΒᏴꓐ CСϹᏟⲤꓚ DᎠꓓ EЕΕᎬꓰ FϜꓝ GԌᏀꓖ HНΗᎻⲎꓧ IІΙӀⲒꓲ JЈͿᎫꓙ KКΚᏦⲔꓗ LᏞꓡ MМΜᎷⲘꓟ NΝⲚꓠ OОΟՕⲞꓳ PРΡᏢⲢꓑ QԚ RᎡꓣ SЅՏᏚꓢ TТΤᎢⲦꓔ UՍꓴ VѴᏙꓦ WԜᎳꓪ XХΧⲬꓫ YҮΥꓬ ZΖᏃꓜ ƏӘ
 ГΓ ПΠ ФΦ
 """.split()
 #: Signs of one shape: the first is kept.
@@ -74,8 +80,8 @@ def _compatible() -> dict[int, str]:
 
 _TO_COMMON = _compatible() | {ord(c): s[0] for s in SIGNS for c in s[1:]}
 _CLASS = {c: s for s in CLASSES for c in s}
-_FIRST = {c: s[0] for s in CLASSES for c in s}
-_FIRST_TABLE = str.maketrans({c: s[0] for s in CLASSES for c in s[1:]})
+#: The members of Latin, Cyrillic and Greek, which every token's lattice has.
+_COMMON = {c: "".join(m for m in t if script(m) != 3) for t in CLASSES for c in t}
 _MEMBERS = frozenset(c for t in CLASSES for c in t[1:])
 _UNSTABLE = regex.compile(r"[\p{M}\p{Default_Ignorable_Code_Point}\p{Script=Cyrillic}\p{Script=Greek}\u1100-\u11ff]|[^\S\n ]")
 
@@ -108,23 +114,32 @@ class Model:
             after[a] = after.get(a, 0) + n
         self.counts, self.after = counts, after
         self.known: dict[tuple[str, int], str] = {}
+        self.scores: dict[tuple[str, str], float] = {}
 
     def score(self, a: str, b: str) -> float:
+        if (got := self.scores.get((a, b))) is not None:
+            return got
+        if len(self.scores) >= 1 << 18:
+            self.scores.clear()
         n = self.counts.get((ord(a) if a else 0, ord(b)), 0)
-        return float(np.log((n + SMOOTH) / (self.after.get(ord(a) if a else 0, 0) + SMOOTH * LETTERS)))
+        self.scores[a, b] = found = math.log((n + SMOOTH) / (self.after.get(ord(a) if a else 0, 0) + SMOOTH * LETTERS))
+        return found
 
     def spell(self, token: str, main: int) -> str:
-        """The best path of a token that is written with the first members of the classes."""
+        """The best path through a token's lattice."""
         if (got := self.known.get((token, main))) is not None:
             return got
         # a state is (score, script so far, last letter, chain of the characters back to the first)
         states: list[tuple[float, int, str, tuple | None]] = [(0.0, -1, "", None)]
-        for c in unicodedata.normalize("NFD", token):
+        flat = unicodedata.normalize("NFD", token)
+        # other scripts come into question where an unmistakable letter of the token is one of theirs
+        of = _CLASS if any(c not in _CLASS and script(c) == 3 for c in flat) else _COMMON
+        for c in flat:
             if script(c) < 0 and c not in _CLASS:  # marks and digits tell nothing of the script: every state goes on
                 states = [(score, before, last, (c, chain)) for score, before, last, chain in states]
                 continue
             nxt = []
-            for member in _CLASS.get(c, c):
+            for member in of.get(c, c):
                 s = script(member)
                 ways = [
                     (score + self.score(last, member) - (SWITCH if before not in (-1, s) else 0) - (FOREIGN if s != main else 0), -k, s, member, (member, chain))
@@ -147,20 +162,23 @@ class Model:
     def canonical(self, text: str | None) -> str | None:
         if not text or (text.isascii() and "\r" not in text and "\t" not in text) or all(map(_plain, set(text))):
             return text
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", flatten(text)).translate(_FIRST_TABLE))
-        if text.isascii() or not _MARKED.search(text):
-            return text  # no letter tells of another script than Latin
+        text = flatten(text)
+        if text.isascii():
+            return text
+        # unmistakable letters vote for the script of the whole text
         votes = [0, 0, 0]
         for c in _MARKED.findall(unicodedata.normalize("NFD", text)):
             votes[script(c)] += 1
         votes[0] = len(_LATIN.findall(text))
         main = votes.index(max(votes))
-        return _WORD.sub(lambda m: self.spell(m.group(), main), text)
+        return _WORD.sub(lambda m: self.spell(m.group(), main) if not _FIXED.fullmatch(m.group()) else m.group(), text)
 
 
-#: Letters that only Cyrillic or Greek has, and letters that only Latin has, once look-alikes are written with Latin ones.
-_MARKED = regex.compile(r"[[\p{Script=Cyrillic}\p{Script=Greek}]&&\p{L}]", regex.VERSION1)
-_LATIN = regex.compile("[[\\p{Script=Latin}&&\\p{L}]--[" + "".join(s[0] for s in CLASSES if script(s[0]) == 0) + "]]", regex.VERSION1)
+_LETTERS = "".join(c for t in CLASSES for c in t)
+#: Letters without a look-alike that only Cyrillic or Greek has, and such letters of Latin; tokens of which every letter stands for itself.
+_MARKED = regex.compile(rf"[[[\p{{Script=Cyrillic}}\p{{Script=Greek}}]&&\p{{L}}]--[{_LETTERS}]]|[ГΓПΠФΦ]", regex.VERSION1)
+_LATIN = regex.compile(rf"[[\p{{Script=Latin}}&&\p{{L}}]--[{_LETTERS}]]", regex.VERSION1)
+_FIXED = regex.compile(rf"[[\p{{L}}\p{{N}}]--[{_LETTERS}\u00c0-\u1fff]]+", regex.VERSION1)
 
 
 def count_bigrams(df: DataFrame, *texts: str) -> dict[tuple[int, int], int]:
@@ -182,7 +200,7 @@ def count_bigrams(df: DataFrame, *texts: str) -> dict[tuple[int, int], int]:
         at = at[at % LETTERS > 0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
-    rows = source.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = small_rows(source.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")), LETTERS * LETTERS, "letter pairs")
     return {(r.pair // LETTERS, r.pair % LETTERS): r.n for r in rows}
 
 

@@ -44,16 +44,32 @@ DASHES = "—–-―‒"
 #: Never the end of a sentence: something has to follow.
 NEVER = frozenset(
     # German
-    "dr prof hr hrn fr frl ing dipl med phil jur rer nat mag st lt vgl bzw ca evtl ggf inkl exkl sog zzgl insb bsp bspw geb gest hl jg max min tel usf z d "
+    "dr prof hr hrn fr frl ing dipl vgl bzw ca evtl ggf inkl exkl sog zzgl insb bsp bspw geb gest hl jg tel usf z d "
     # English
-    "mr mrs ms messrs rev hon gen col capt sgt gov sen rep vs approx cf viz incl esp al "
+    "mr mrs ms messrs vs approx cf viz incl esp "
     # French, Spanish, Italian
-    "mm mme mmes mlle mgr env ex av sr sra srta srs dra ud uds ej aprox pág "
+    "mme mmes mlle mgr env av sr sra srta srs dra ud uds ej aprox pág "
     # Russian, Hindi, Arabic
     "проф акад им ул тов г-н г-жа डॉ श्री पं د أ".split()
 )
+#: The same, but ordinary words or names where they are written in the other case: titles in capitals, the rest in small letters.
+NEVER_CAPITAL = frozenset("mag st gen col sen rep hon capt sgt gov lt rev mm".split())
+NEVER_SMALL = frozenset("max min med phil jur rer nat".split())
+#: Abbreviations only behind these words.
+NEVER_BEHIND = {"al": ("et",), "ex": ("par", "p", "z")}
+#: Words that begin a sentence and are no name: behind a title, initial or ordinal they tell that the sentence ended with it.
+STARTERS = frozenset(
+    # German
+    "er sie es ich du wir ihr man der die das den dem ein eine dann da dort danach doch aber und oder wenn als weil jetzt nun hier heute morgen gestern alle niemand jeder dieser diese dieses "
+    # English
+    "he she it they we i you the this that these those then there but and if when after before his their my our its everyone nobody what who why how now today "
+    # French, Spanish, Italian
+    "il elle nous vous ils elles je mais puis alors ella ellos pero entonces luego cuando ma poi quando "
+    # Russian
+    "он она они мы но потом это тогда".split()
+)
 #: Stand before a number; before anything else they may end a sentence.
-NUMBERED = frozenset("nr nrn no nos art abs abb bd bde kap tab fig vol ch sec str s p pp núm стр рис гл".split())
+NUMBERED = frozenset("nr nrn no nos art abs abb bd bde kap tab fig vol ch sec str s p pp núm стр рис гл jan feb mär mrz mar apr jun jul aug sep sept okt oct nov dez dec".split())
 #: Written with inner points, and may end a sentence.
 DOTTED_END = frozenset("p.m a.m u.a u.ä u.ae u.v.m u.a.m u.s.w u.dgl i.d.r n.chr v.chr u.s u.k d.c j.-c т.д т.п".split())
 #: The same written with spaces, as the end of the text before a point.
@@ -80,7 +96,7 @@ _LINE_ENDS = re.compile(r"\r(?!\n)|[\x85  ]")
 
 
 def _word_start(p: str, at: int) -> int:
-    """Begin of the word that ends at ``at``; of a word longer than that, the last 80 characters count."""
+    """Begin of the word that ends at ``at``; of a longer one the last 80 characters count, which no abbreviation has."""
     least = max(0, at - 80)
     return max(p.rfind(" ", least, at) + 1, least)
 
@@ -89,6 +105,14 @@ def _word_before(p: str, at: int) -> str:
     return p[_word_start(p, at) : at]
 
 
+def _starts_sentence(p: str, after: int) -> bool:
+    """Whether the word at ``after`` is one that begins sentences; a capital with a point is an initial."""
+    e = after
+    while e < len(p) and e - after < 12 and p[e].isalpha():
+        e += 1
+    return p[after:e].lower() in STARTERS and not (e - after == 1 and p[e : e + 1] == ".")
+
+
 def _previous_word(p: str, start: int) -> str:
     """The word before the one that begins at ``start``, over any number of spaces."""
     while start and p[start - 1] == " ":
@@ -113,7 +137,7 @@ def _stays(p: str, dot: int, after: int, start: int) -> bool:
             return True  # the number of a list entry
         before = _previous_word(p, s).strip("\"„“”»«›‹‚‘’'([{.").lower()
         if before in ORDINAL_BEFORE:
-            return len(low) <= 3
+            return len(low) <= 3 and not _starts_sentence(p, after)
         e = after
         while e < len(p) and p[e].isalpha():
             e += 1
@@ -125,17 +149,25 @@ def _stays(p: str, dot: int, after: int, start: int) -> bool:
             return False
         before = _previous_word(p, s).strip("\"„“”»«›‹‚‘’'([{") if s > start else ""
         if word.isupper():
-            return before.lower() not in LABELS
+            return before.lower() not in LABELS and not (before and _starts_sentence(p, after))
         return not (low == "г" and before[-1:].isdigit() and not nxt.isdigit())
     if "." in word:
         if low in DOTTED_END:  # in capitals it is initials, but for the hours of a day
-            return word.isupper() and not (low[-2:] == ".m" and _previous_word(p, s)[-1:].isdigit())
+            return word.isupper() and not (low[-2:] == ".m" and _previous_word(p, s)[-1:].isdigit() or s > start and _starts_sentence(p, after))
         last = low.rpartition(".")[2]
-        return len(last) < 2 or last in NEVER
+        if word.isupper() and s > start and _starts_sentence(p, after):
+            return False
+        return len(last) < 2 or last in NEVER or last in NEVER_CAPITAL or last in NEVER_SMALL
     if low in NUMBERED:
         return nxt.isdigit()
     if low == "chr" or low == "etc" or low == "usw":
         return False
+    if low in NEVER_CAPITAL:
+        return word[0].isupper() and not _starts_sentence(p, after)
+    if low in NEVER_SMALL:
+        return (word.islower() or s <= start) and not _starts_sentence(p, after)
+    if low in NEVER_BEHIND:
+        return _previous_word(p, s).strip(".(\"„«").lower() in NEVER_BEHIND[low]
     return low in NEVER
 
 

@@ -34,8 +34,11 @@ def test_spelling_keeps_the_script():
     assert MODEL.canonical("Ένα Aυτοκίνητο") == "Ένα Αυτοκίνητο"
 
 
+FIRST = {c: t[0] for t in l.CLASSES for c in t}
+
+
 def classes(text):
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", l.flatten(text)).translate(l._FIRST_TABLE))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", l.flatten(text)).translate(str.maketrans(FIRST)))
 
 
 letters = st.text(alphabet=st.sampled_from("aаeеoоοnджлBВΒ HНΗд.̈​1１ﬁäӓ"), max_size=12)
@@ -56,14 +59,13 @@ def test_settles(text):
 def test_viterbi_against_all_paths(token):
     import itertools
 
-    base = "".join(l._FIRST.get(c, c) for c in token)
     best = None
-    for way in itertools.product(*[l._CLASS[c] for c in base]):
+    for way in itertools.product(*[l._COMMON[c] for c in token]):
         kinds = [l.script(c) for c in way]
         score = sum(MODEL.score(a, b) for a, b in zip(("", *way), way)) - l.SWITCH * sum(a != b for a, b in zip(kinds, kinds[1:])) - l.FOREIGN * sum(k != 1 for k in kinds)
         if best is None or (score, way) > best:
             best = (score, way)
-    got = MODEL.spell(base, 1)
+    got = MODEL.spell(token, 1)
     kinds = [l.script(c) for c in got]
     score = sum(MODEL.score(a, b) for a, b in zip(("", *got), got)) - l.SWITCH * sum(a != b for a, b in zip(kinds, kinds[1:])) - l.FOREIGN * sum(k != 1 for k in kinds)
     assert abs(score - best[0]) < 1e-9
@@ -78,3 +80,15 @@ def test_rows(spark):
     forms = l.canonical_texts(df, "k", "n", "a")
     assert forms.count() == len(rows) and forms.where("k = 3").first().n_form is None
     assert l.hidden_differences(df.limit(0), "k", "n", "a").count() == 0
+
+
+@pytest.mark.parametrize("a, b, same", [
+    ("Ꭺpple", "Apple", True), ("Ꮯat", "Cat", True), ("ⲟk", "ok", True), ("ꓮꓐ", "AB", True), ("օk", "ok", True), ("сор", "cop", True), ("Mосква", "Москва", True),
+    ("ɑpple", "apple", False), ("ρaypal", "paypal", False), ("τест", "тест", False), ("Apple", "apple", False), ("Ꭶpple", "Apple", False),
+])
+def test_scripts(a, b, same):
+    assert (MODEL.canonical(a) == MODEL.canonical(b)) == same
+
+
+def test_words_of_other_scripts_keep_their_letters():
+    assert MODEL.canonical("ᎠᎴ") == "ᎠᎴ" and MODEL.canonical("ոչ") == "ոչ"

@@ -88,3 +88,13 @@ def test_duplicate_rows_count_once(spark):
     t = spark.createDataFrame([(1, "A. B.", 1), (1, "A. B.", 2), (None, "x", 1), (2, None, 1)], "teil_id bigint, text string, x int")
     c = spark.createDataFrame([(1, "C", None), (1, "C", True), (1, "C", False)], "chunk_id bigint, raw_text string, is_heading boolean")
     assert sorted((r.item_kind, r.item_id, r.is_heading) for r in items(t, c).collect()) == [("chunk", 1, True), ("teil", 1, False)]
+
+
+@pytest.mark.parametrize("text, units", [
+    ("Das ist alles, was ich mag. Dann ging er fort.", 2), ("Das ist Max. Er geht heim.", 2), ("I met Phil. He left early.", 2), ("He lives on Main St. He is nice.", 2),
+    ("He lives in the U.S. He is happy.", 2), ("My ex. She moved on.", 2), ("Heute ist der 3. Er kam.", 2), ("We met on Oct. 5. Then it rained.", 2), ("Das sind 5 mm. Er maß nach.", 2),
+    ("Dr. med. Huber kam. St. Martin ritt.", 2), ("Mag. Huber und Gen. Lee kamen.", 1), ("Smith et al. Results differ.", 1), ("Das U.S. Army Museum ist da.", 1), ("Franz J. Strauß kam.", 1),
+    ("max. 5 Personen. Max. 3 Tage.", 2), ("Am 3. Mai kam er.", 1), ("Er kam im Okt. 2020 an.", 1),
+])
+def test_ordinary_words_and_starters(text, units):
+    assert len(s.split_units(text)) == units
