@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lesewerk.operators.ordered import join_keys
+
 
 def number_accepted(segments: DataFrame, reason: Column, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) segments. Accepted ones are numbered from 1 over all sources in order: counts of each source are
@@ -62,3 +64,55 @@ def checkpoint_order(files: DataFrame, name: str = "name") -> DataFrame:
     """Checkpoints with the last one first, then by falling step; a name without a step comes last."""
     step = F.coalesce(F.regexp_extract(name, r"model_(\d+)\.pt$", 1).try_cast("bigint"), F.lit(-1))
     return files.where(F.col(name).rlike(r"model_[^/]*\.pt$")).orderBy(~F.col(name).endswith("model_last.pt"), F.desc(step), name)
+
+
+def recorded(variants: DataFrame, measures: DataFrame, project: str) -> DataFrame:
+    """Variants with the measures of their projects in place of their own; a project without measures leaves nulls."""
+    stale = [c for c in measures.columns if c != project and c in variants.columns]
+    return variants.drop(*stale).join(measures, project, "left").select(*[c for c in variants.columns if c not in stale and c != project], *[c for c in measures.columns if c != project])
+
+
+def longest_reference(rows: DataFrame, voices: DataFrame, voice: str = "voice", name: str = "name", seconds: str = "duration_s") -> DataFrame:
+    """The other columns of ``rows`` with the seconds of their voice's longest recording, 0 for unknown voices."""
+    longest = voices.groupBy(F.col(name).alias(voice)).agg(F.max(seconds).alias("seconds"))
+    return rows.join(longest, voice, "left").select(*[c for c in rows.columns if c != voice], F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+
+
+def first_rows(findings: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each group (0: all) and, as ``more``, how many others it has. Spark keeps only so many rows of a group
+    in each task before the shuffle."""
+    if not most:
+        return findings.withColumn("more", F.lit(0).cast("bigint"))
+    first = findings.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+    sizes = findings.groupBy(*keys).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    return join_keys(first, sizes, keys)
+
+
+def of_status(results: DataFrame, *states: str, status: str = "status") -> DataFrame:
+    """Results of a report with one of the states; 'fail' alone says whether the report is good."""
+    return results.where(F.col(status).isin(*states))
+
+
+def require_variants(grid: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """(key, variants) of the groups that are too small to compare; raise on what comes back, or leave them out."""
+    return grid.groupBy(key).agg(F.count("*").alias("variants")).where(F.col("variants") < least)
+
+
+def settings_for(rows: DataFrame, models: DataFrame, model: str = "model", name: str = "name", values: tuple[str, ...] = ("ckpt_path", "vocab_path")) -> DataFrame:
+    """Settings with those of the named model in their place; without a model, or with an unknown one, they stay."""
+    found = models.groupBy(F.col(name).alias("_model")).agg(*[F.max(v).alias(f"_{v}") for v in values])
+    return rows.join(found, rows[model] == F.col("_model"), "left").select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in values else rows[c] for c in rows.columns])
+
+
+def without_lage(voices: DataFrame, gone: DataFrame) -> DataFrame:
+    """Recordings (name, lage, ...) without those named; the neutral one goes only with its voice, so it stays."""
+    asked = gone.select("name", "lage").distinct().where("lage != 'neutral'")
+    return voices.join(asked, ["name", "lage"], "left_anti")
+
+
+def with_transcripts(voices: DataFrame, texts: DataFrame) -> DataFrame:
+    """New transcripts (name, lage, transcript) for recordings, with the pace that follows from them."""
+    new = texts.groupBy("name", "lage").agg(F.max("transcript").alias("_new"))
+    both = voices.join(new, ["name", "lage"], "left").withColumn("transcript", F.coalesce("_new", "transcript"))
+    pace = F.when((F.length(F.trim("transcript")) > 0) & (F.col("duration_s") > 0), F.length(F.trim("transcript")) / F.col("duration_s"))
+    return both.withColumn("chars_per_second", F.when(F.col("_new").isNotNull(), pace).otherwise(F.col("chars_per_second"))).drop("_new").select(*voices.columns)

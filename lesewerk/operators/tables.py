@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lesewerk.operators.ordered import join_keys
+
 # Groups of states that a search can ask for.
 STATUS_GROUPS = {"pruefen": ("needs_review", "failed"), "offen": ("pending", "synthesized"), "fertig": ("ok",)}
 NEUTRAL = "neutral"
@@ -23,13 +25,14 @@ def search(chunks: DataFrame, status: str = "", query: str = "") -> DataFrame:
     """Chunks of a status group whose texts contain the query, without regard to case, with the number of all chunks.
 
     An unknown group filters nothing; the query is a literal text, not a pattern."""
-    total = chunks.count()
     states = STATUS_GROUPS.get(status)
     out = chunks.where(F.col("status").isin(*states)) if states else chunks
     if q := query.strip().lower():
         hit = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(q)) for c in ("raw_text", "normalized_text", "asr_text")]
         out = out.where(hit[0] | hit[1] | hit[2])
-    return out.withColumn("total", F.lit(total).cast("bigint"))
+    # the total is one row: joined by a constant, it is broadcast
+    total = chunks.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
+    return out.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
 
 
 def progress(chunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,7 +55,9 @@ def with_voice(rows: DataFrame, voices: DataFrame, voice: str, lage: str) -> Dat
     """Adds the voice's recording in the wanted mood, or the neutral one where there is none: voice_lage, reference_s, rate.
 
     The recordings of a voice become one map, so that one equi-join does both look-ups."""
-    by_voice = voices.where("name is not null and lage is not null").groupBy("name").agg(
+    # of a repeated (name, lage) the greatest row holds
+    once = voices.where("name is not null and lage is not null").groupBy("name", "lage").agg(F.max(F.struct("duration_s", "chars_per_second")).alias("_r")).select("name", "lage", "_r.*")
+    by_voice = once.groupBy("name").agg(
         F.map_from_entries(F.collect_list(F.struct("lage", F.struct("lage", "duration_s", "chars_per_second")))).alias("_lagen"))
     found = F.coalesce(F.try_element_at("_lagen", F.col(lage)), F.try_element_at("_lagen", F.lit(NEUTRAL)))
     joined = rows.join(by_voice, rows[voice] == by_voice["name"], "left").withColumn("_v", found)
@@ -140,9 +145,17 @@ def build_grid(comparisons: DataFrame, axes: dict[str, list[float]], limits: dic
 
 
 def unique_slugs(rows: DataFrame, keys: list[str], slug: str, order: str) -> DataFrame:
-    """Numbers equal slugs of a group: the second becomes slug-2. Counted by one window over the equal ones."""
-    n = F.row_number().over(Window.partitionBy(*keys, slug).orderBy(order))
-    return rows.withColumn(slug, F.when(n > 1, F.concat(F.col(slug), F.lit("-"), n.cast("string"))).otherwise(F.col(slug)))
+    """Equal slugs of a group are told apart: in order, a taken one gets the first of -2, -3, ... that isn't taken either.
+
+    Each choice depends on all before it, so a group (a comparison's grid, at most a dozen variants) is one fold."""
+    taken = F.aggregate(
+        "_all", F.array().cast("array<string>"),
+        lambda done, x: F.array_append(done, F.when(~F.array_contains(done, x["s"]), x["s"]).otherwise(
+            F.element_at(F.filter(F.transform(F.sequence(F.lit(2), F.size(done) + 2), lambda n: F.concat(x["s"], F.lit("-"), n.cast("string"))), lambda c: ~F.array_contains(done, c)), 1))))
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(slug), F.lit("")).alias("s")))).alias("_all"))
+    made = listed.select(*keys, F.inline(F.zip_with("_all", taken, lambda x, s: F.struct(x["o"].alias(order), s.alias(slug)))))
+    others = [c for c in rows.columns if c not in (*keys, order, slug)]
+    return made.select(*rows.columns) if not others else join_keys(rows.drop(slug), made, [*keys, order]).select(*rows.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -142,8 +142,9 @@ SELECT id FROM projects ORDER BY try_cast(regexp_replace(replace(created_at, 'T'
 WITH s AS (SELECT id, left(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS s FROM projects) SELECT id, coalesce(nullif(s, ''), 'projekt') AS slug FROM s""",
     "unique_labels": """
 WITH s AS (SELECT variant_id, comparison_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), ''), 'variante') AS s FROM variants),
-n AS (SELECT *, row_number() OVER (PARTITION BY comparison_id, s ORDER BY variant_id) AS n FROM s)
-SELECT variant_id, comparison_id, CASE WHEN n > 1 THEN s || '-' || n ELSE s END AS slug FROM n""",
+g AS (SELECT comparison_id, list(variant_id ORDER BY variant_id, s) AS v, list([s] ORDER BY variant_id, s) AS l FROM s GROUP BY comparison_id),
+u AS (SELECT comparison_id, v, list_reduce(l, lambda a, x: list_append(a, CASE WHEN NOT list_contains(a, x[1]) THEN x[1] ELSE x[1] || '-' || list_filter(range(2, len(a) + 3), lambda n: NOT list_contains(a, x[1] || '-' || n))[1] END)) AS r FROM g)
+SELECT unnest(v) AS variant_id, comparison_id, unnest(r) AS slug FROM u""",
     "sample_rates": "SELECT voice, count(DISTINCT sample_rate) AS rates, count(DISTINCT sample_rate) > 1 AS mixed, count(*) AS projects FROM projects GROUP BY voice",
     "lexicon_upsert": """
 SELECT DISTINCT voice AS word, 'neu' AS spoken FROM projects WHERE voice IS NOT NULL
@@ -247,7 +248,7 @@ WITH v AS (SELECT name AS voice, transcript, duration_s FROM voices WHERE lage =
 x AS (SELECT DISTINCT chunk_id, project_id, normalized_text FROM chunks)
 SELECT chunk_id, round(duration_s + length(normalized_text) / 14.0::DOUBLE + 0.5, 3) AS seconds FROM x JOIN p USING (project_id)
 WHERE length(normalized_text) <= 80 AND duration_s > 0 AND duration_s / nullif(strlen(transcript), 0) * strlen(normalized_text) < length(normalized_text) / 14.0::DOUBLE + 0.5""",
-    "text_flags": f"""
+    "text_flags": rf"""
 WITH x AS (SELECT DISTINCT chunk_id, project_id, raw_text, normalized_text FROM chunks),
 y AS (SELECT project_id, length(normalized_text) > 280 AS o, rtrim(regexp_extract({_strip("raw_text")}, '^([^ \t\n\x0b\f\r]+)', 1), '"'')]»›“”') AS w,
   split_part(trim(regexp_replace(replace(replace(replace(replace(lower(normalized_text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ', 1) AS f FROM x)
