@@ -105,6 +105,12 @@ def strip_tags(c: Column | str, supported: list[str]) -> Column:
     return strip_space(F.regexp_replace(t, f"{SPACE}+", " "))
 
 
+def find_tags(c: Column | str) -> Column:
+    """The [tags] of a text in lower case, each once, in the order of their first occurrence."""
+    found = F.regexp_extract_all(col(c), F.lit(r"\[([^\[\]]{1,40})\]"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda t: F.lower(strip_space(t))))
+
+
 # ---- number words as expressions; the same arithmetic runs in SQL
 
 

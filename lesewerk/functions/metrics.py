@@ -5,20 +5,34 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lesewerk.functions.columns import col, comparison_form
 
 
+def _ranges(points: list[int]) -> str:
+    out, start = [], None
+    for k, n in zip(points, [*points[1:], None]):
+        start = k if start is None else start
+        if n != k + 1:
+            out.append(f"\\x{{{start:x}}}-\\x{{{k:x}}}")
+            start = None
+    return "".join(out)
+
+
+#: What composition can change: marks and letters that combine with the one before, and characters that are no composed form themselves.
+_LOOSE = r"[\p{M}\x{1161}-\x{11ff}" + _ranges([k for k in (*range(0xC0, 0xD800), *range(0xF900, 0x30000)) if unicodedata.category(chr(k))[0] not in "MC" and not unicodedata.is_normalized("NFC", chr(k))]) + "]"
+
+
 def composed(c: Column | str) -> Column:
-    """NFC. Spark has no function for it; texts without combining marks stay in the JVM's value."""
+    """NFC. Spark has no function for it: texts that composition can change go to Python, of all others a null does."""
 
     @F.pandas_udf("string")
     def nfc(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+        return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
-    return F.when(F.rlike(col(c), F.lit(r"[^\x00-\x7f]")), nfc(col(c))).otherwise(col(c))
+    return F.coalesce(nfc(F.when(F.rlike(col(c), F.lit(_LOOSE)), col(c))), col(c))
 
 
 def char_error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -31,31 +45,26 @@ def cer(reference: Column | str, hypothesis: Column | str) -> Column:
     return char_error_rate(comparison_form(composed(reference)), comparison_form(composed(hypothesis)))
 
 
-def word_distance(reference: list[str], hypothesis: list[str]) -> int:
-    """Edit distance of word lists; one row of the table is kept."""
-    row = list(range(len(hypothesis) + 1))
-    for i, a in enumerate(reference, 1):
-        corner, row[0] = row[0], i
-        for j, b in enumerate(hypothesis, 1):
-            corner, row[j] = row[j], corner if a == b else 1 + min(corner, row[j], row[j - 1])
-    return row[-1]
-
-
-def word_error_rate(reference: str | None, hypothesis: str | None) -> float | None:
-    if reference is None or hypothesis is None:
-        return None
-    x, y = reference.split(), hypothesis.split()
-    return word_distance(x, y) / len(x) if x else float(bool(y))
+def _symbols(words: Column, every: Column) -> Column:
+    """Words as one character each: their place among all words of the pair, beyond the surrogates where need be."""
+    place = lambda w: F.array_position(every, w) + 255
+    point = lambda w: F.when(place(w) < 0xD800, place(w)).otherwise(place(w) + 0x800)
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
 
 
-def wer(reference: Column | str, hypothesis: Column | str) -> Column:
-    """As ``cer``, by words. A word is a symbol here, which the built-in distance of strings can't take: hence Arrow."""
+def word_error_rate(reference: Column, hypothesis: Column) -> Column:
+    """Edit distance of two comparison forms by words, by the number of words of the first; 0 or 1 where that is empty."""
+    x, y = (F.filter(F.split(form, " "), lambda w: w != "") for form in (reference, hypothesis))
+    every = F.array_distinct(F.concat(x, y))
+    return F.when(F.size(x) == 0, F.when(F.size(y) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(_symbols(x, every), _symbols(y, every)) / F.size(x))
 
-    @F.pandas_udf("double")
-    def rate(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([word_error_rate(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return rate(comparison_form(composed(reference)), comparison_form(composed(hypothesis)))
+def with_error_rates(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Adds ``cer`` and ``wer`` of two texts; null where one of them is null. The forms are columns of their own, so each is made once."""
+    forms = rows.withColumn("_reference", comparison_form(composed(reference))).withColumn("_hypothesis", comparison_form(composed(hypothesis)))
+    a, b = F.col("_reference"), F.col("_hypothesis")
+    known = a.isNotNull() & b.isNotNull()
+    return forms.withColumn("cer", F.when(known, char_error_rate(a, b))).withColumn("wer", F.when(known, word_error_rate(a, b))).drop("_reference", "_hypothesis")
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

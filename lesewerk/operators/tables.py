@@ -36,7 +36,10 @@ def search(chunks: DataFrame, status: str = "", query: str = "") -> DataFrame:
 
 
 def progress(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts by state and medians of the measured values of each group; one shuffle."""
+    """Counts by state and medians of the measured values of each group; one shuffle.
+
+    The medians are exact. Both measures are stored with four digits, so a group of any size has at most some ten thousand
+    distinct values, which are counted before the shuffle."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
     cer = F.when(~F.isnan("cer") & (F.col("cer") >= 0), F.col("cer"))
     similar = F.when(~F.isnan("speaker_similarity"), F.when(F.col("speaker_similarity") > 1, F.col("speaker_similarity") / 100).otherwise(F.col("speaker_similarity")))

@@ -170,7 +170,7 @@ def comparison_forms(spark: SparkSession, d: str) -> DataFrame:
 def error_rates(spark: SparkSession, d: str) -> DataFrame:
     """Character and word error rates of all transcribed chunks."""
     x = table(spark, d, "chunks").where("asr_text is not null").select("chunk_id", "normalized_text", "asr_text").distinct()
-    return x.select("chunk_id", F.round(metrics.cer("normalized_text", "asr_text"), 4).alias("cer"), F.round(metrics.wer("normalized_text", "asr_text"), 4).alias("wer"))
+    return metrics.with_error_rates(x, "normalized_text", "asr_text").select("chunk_id", F.round("cer", 4).alias("cer"), F.round("wer", 4).alias("wer"))
 
 
 def spoken_forms(spark: SparkSession, d: str) -> DataFrame:

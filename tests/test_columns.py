@@ -47,13 +47,13 @@ def test_numbers(spark):
 
 @pytest.mark.parametrize("ref, hyp, cer, wer", [("Hallo Welt", "hallo, welt!", 0, 0), ("", "", 0, 0), ("", "x", 1, 1), ("ab", "abcdef", 2, 1), ("über", "ueber", 0, 0), ("über", "über", 0, 0), ("eins zwei drei", "eins drei", 5 / 14, 1 / 3)])
 def test_error_rates(spark, ref, hyp, cer, wer):
-    r = spark.createDataFrame([(ref, hyp)], "r string, h string").select(metrics.cer("r", "h").alias("c"), metrics.wer("r", "h").alias("w")).first()
-    assert math.isclose(r.c, cer) and math.isclose(r.w, wer)
+    r = metrics.with_error_rates(spark.createDataFrame([(ref, hyp)], "r string, h string"), "r", "h").first()
+    assert math.isclose(r.cer, cer) and math.isclose(r.wer, wer)
 
 
 def test_error_rates_of_null(spark):
-    r = spark.createDataFrame([(None, "x")], "r string, h string").select(metrics.cer("r", "h").alias("c"), metrics.wer("r", "h").alias("w")).first()
-    assert r.c is None and r.w is None
+    r = metrics.with_error_rates(spark.createDataFrame([(None, "x")], "r string, h string"), "r", "h").first()
+    assert r.cer is None and r.wer is None
 
 
 def test_cosine(spark):
