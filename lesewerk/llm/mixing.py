@@ -116,7 +116,8 @@ def counted_documents(documents: DataFrame, weights: dict[str, tuple[float, int]
 
 def mix(documents: DataFrame, weights: DataFrame, total: float | str | None = None, seed: int = 17, ranks_path: str | None = None, levels: tuple[str, ...] = ("source", "lang")) -> tuple[DataFrame, DataFrame]:
     """(mixture, report). The mixture has a row (doc_id, levels, n_tokens, epoch, tokens_used, place) for each use of a document,
-    ``place`` being its seeded place in the epoch; the report a row for each weighted source with target and reached share.
+    ``place`` being its seeded place in the epoch; the report a row for each weighted source with target and reached share, and with
+    the tokens that the source has and those of them that no use reaches.
     ``total`` is in tokens, or CORPUS for as many as the weighted sources have. ``levels`` are columns of ``documents``, from the root on, and hold 'source'."""
     spark = documents.sparkSession
     keys = list(levels)
@@ -144,8 +145,13 @@ def mix(documents: DataFrame, weights: DataFrame, total: float | str | None = No
         F.xxhash64(F.lit(seed), "epoch", "doc_id").alias("place"),
     )
     targets = spark.createDataFrame([(s, w, r) for s, (w, r) in by_source.items()], "source string, target_share double, max_repeats int")
-    reached = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("epochs") + F.col("part")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
-    report = targets.join(reached, "source", "left").select(
-        "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    once = F.when(F.col("epochs") > 0, F.col("n_tokens")).otherwise(F.col("part"))
+    reached = uses.groupBy("source").agg(
+        F.sum(F.col("n_tokens") * F.col("epochs") + F.col("part")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"), F.sum(once).alias("once"))
+    there = counted.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    report = targets.join(reached, "source", "left").join(there, "source", "left").select(
+        "source", "target_share", "max_repeats", zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_uses").alias("most_uses"),
+        zero("available_tokens").alias("available_tokens"), (zero("available_tokens") - zero("once")).alias("left_out_tokens"))
     share = F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0)), F.lit(0.0))
     return mixture, report.withColumn("reached_share", share)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lesewerk.llm import bpe, lookalikes, mixing, packing, percentiles, sentences, spam, splitting
-from lesewerk.llm.common import items, latest, table
+from lesewerk.llm.common import fold_name, items, latest, table
 
 #: Seconds of a take where a project names none, and characters a second where its voice has no measured rate.
 TARGET_SECONDS, CHARS_PER_SECOND = 20.0, 14.0
@@ -169,6 +169,28 @@ def p7_shares_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), total=mixing.CORPUS)[1]
 
 
+#: Domains of the sources, for a tree of three levels.
+DOMAINS = {
+    "buch": ("roman", "sachbuch", "gedicht", "handbuch"), "netz": ("webseite", "zeitung", "forum"), "ton": ("vortrag", "hoerspiel", "radioarchiv"),
+}
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As many tokens as the weighted sources have, over domain, language and source: what a source can't give goes to the sources of its
+    domain and language first, then to the domain's other languages, then to the other domains."""
+    of = F.create_map(*[F.lit(x) for domain, sources in DOMAINS.items() for s in sources for x in (s, domain)])
+    documents = table(spark, sf_dir, "documents").withColumn("domain", F.try_element_at(of, F.coalesce(fold_name(F.col("source")), F.lit(""))))
+    return mixing.mix(documents, table(spark, sf_dir, "source_weights"), total=mixing.CORPUS, levels=("domain", "lang", "source"))
+
+
+def p7_mixture_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir)[0]
+
+
+def p7_shares_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir)[1]
+
+
 # ---- 8 stuffed pages
 
 
@@ -180,6 +202,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p2_found, p2_forms, p3_takes, p3_takes_varied, p4_found, p4_units, p5_found, p5_cer, p5_similarity, p5_similarity_by_voice, p5_variants,
-        p6_ids, p7_mixture, p7_shares, p7_mixture_corpus, p7_shares_corpus, p8_found,
+        p6_ids, p7_mixture, p7_shares, p7_mixture_corpus, p7_shares_corpus, p7_mixture_tree, p7_shares_tree, p8_found,
     )
 }

@@ -91,3 +91,26 @@ def test_corpus_queries(spark, sf_dir):
     fewer = {r.source: r for r in QUERIES["p7_shares"](spark, sf_dir).collect()}
     assert set(shares) == set(fewer) and sum(r.tokens for r in shares.values()) > sum(r.tokens for r in fewer.values())
     assert sum(r.reached_share for r in shares.values()) == pytest.approx(1)
+
+
+def test_report_accounts_for_every_token(spark, sf_dir):
+    from lesewerk.llm import queries as q
+
+    for shares, mixture in ((q.p7_shares, q.p7_mixture), (q.p7_shares_tree, q.p7_mixture_tree)):
+        used = {}
+        for r in mixture(spark, sf_dir).collect():
+            of = used.setdefault(r.source, {})
+            of[r.doc_id] = max(of.get(r.doc_id, 0), r.tokens_used)
+        for r in shares(spark, sf_dir).collect():
+            assert r.available_tokens - r.left_out_tokens == sum(used.get(r.source, {}).values())
+
+
+def test_tree_redistributes_within_the_domain_first(spark, sf_dir):
+    from lesewerk.llm import queries as q
+
+    rows = {r.source: r for r in q.p7_shares_tree(spark, sf_dir).collect()}
+    have = {s: r for s, r in rows.items() if r.available_tokens}
+    weights = sum(r.target_share for r in have.values())
+    short = [s for s, r in have.items() if r.tokens < 0.99 * r.available_tokens * r.max_repeats and r.reached_share < 0.97 * r.target_share / weights]
+    assert not short  # whoever is below its target has given all it has
+    assert abs(sum(r.reached_share for r in rows.values()) - 1) < 1e-9
