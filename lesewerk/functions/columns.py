@@ -174,6 +174,12 @@ def chunk_budget(target: Column | str, limit: Column | str, reference: Column |
     return F.when(col(limit).isNull(), col(target)).otherwise(F.greatest(F.lit(4.0), room))
 
 
+def chunk_limits(target: Column | str, most: Column | str, limit: Column | str, reference: Column | str) -> Column:
+    """(budget, most) as a struct: the budget of a chunk, which is also its maximum where it lies below the target."""
+    budget = chunk_budget(target, limit, reference)
+    return F.struct(budget.alias("budget"), F.when(budget < col(target), budget).otherwise(col(most)).alias("most"))
+
+
 def silence_threshold(floor: Column | str, speech: Column | str) -> Column:
     return F.least(F.greatest(col(floor) + SILENCE_MARGIN, col(speech) - SPEECH_DROP, F.lit(MIN_SILENCE)), F.lit(MAX_SILENCE))
 

@@ -166,6 +166,20 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def renamed(old: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Entries under new names (old_name, new_name). An entry that had the new name goes, as its place is taken; names that no entry has do
+    nothing. Of several new names for one entry the least holds."""
+    once = names.groupBy("old_name").agg(F.min("new_name").alias("new_name")).join(old.select(F.col(key).alias("old_name")).distinct(), "old_name")
+    moved = old.join(once.withColumnRenamed("old_name", key), key).withColumn(key, F.col("new_name")).select(*old.columns)
+    gone = once.select(F.col("old_name").alias(key)).union(once.select(F.col("new_name").alias(key))).distinct()
+    return old.join(gone, key, "left_anti").select(*old.columns).unionByName(moved)
+
+
+def removed(old: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Entries without those whose names are given."""
+    return old.join(names.select(key).distinct(), key, "left_anti").select(*old.columns)
+
+
 def lexicon_candidates(texts: DataFrame, words: Column, lexicon: DataFrame, source: str, fold_case: bool = True) -> DataFrame:
     """Words that the lexicon doesn't have, with the number of rows and the first source: (word, n, first_source)."""
     found = texts.select(F.col(source).alias("_s"), F.explode(words).alias("word"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lesewerk.functions import columns as c
 from lesewerk.functions import german, metrics
-from lesewerk.operators import curation, editing, ordered, segment, signal, tables
+from lesewerk.operators import curation, editing, ordered, recordings, segment, signal, tables
 from lesewerk.sources.tables import table
 
 #: Option limits of an engine: lowest, highest, whole numbers only.
@@ -228,15 +228,7 @@ def pause_timeline(spark: SparkSession, d: str) -> DataFrame:
 def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The first rule that a transcription breaks, at the pace that its text would need."""
     x = _current(spark, d, "project_id", "normalized_text", "asr_text", "status").where("status in ('ok', 'needs_review', 'failed')")
-    n = F.length("normalized_text")
-    rate = F.when(n == 0, float("inf")).otherwise(F.length("asr_text") / (n / RATE))
-    low, high = c.PLAUSIBLE_RATES
-    reason = (
-        F.when(F.coalesce("asr_text", F.lit("")) == "", "keine Rückschrift -- vermutlich kein Sprachanteil")
-        .when(F.length("asr_text") < 5, F.concat(F.lit("Rückschrift zu kurz -- "), F.col("asr_text")))
-        .when(~rate.between(low, high), "Text passt nicht zur Länge -- Zeichen/s")
-    )
-    return x.select("chunk_id", reason.alias("reason"))
+    return x.select("chunk_id", recordings.reject_reason(F.col("asr_text"), F.length("normalized_text") / RATE).alias("reason"))
 
 
 def reject_report(spark: SparkSession, d: str) -> DataFrame:

@@ -185,11 +185,27 @@ def missing_files(spark: SparkSession, d: str) -> DataFrame:
     return v.select("name", F.array_join(files.missing(["neutral", "ernst", "heiter", "traurig"], "there"), ",").alias("missing"))
 
 
+def lexicon_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Voices as a lexicon: those with a neutral recording of 8 s and more under another name, those below 6 s taken out."""
+    v = table(spark, d, "voices").where("lage = 'neutral'").select(F.col("name").alias("word"), "duration_s")
+    names = v.where("duration_s >= 8").select(F.col("word").alias("old_name"), F.concat("word", F.lit(" (neu)")).alias("new_name"))
+    out = tables.renamed(v.select("word", F.round("duration_s", 3).alias("spoken")), names, "word")
+    return tables.removed(out, v.where("duration_s < 6").select("word"), "word")
+
+
+def chunk_limit_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a chunk of each project may last beside its voice's neutral recording, and at most."""
+    v = table(spark, d, "voices").where("lage = 'neutral'").groupBy(F.col("name").alias("voice")).agg(F.max("duration_s").alias("reference"))
+    p = table(spark, d, "projects").select("id", "voice", F.coalesce("target_chunk_seconds", F.lit(20.0)).alias("target")).join(v, "voice", "left")
+    limits = c.chunk_limits("target", F.lit(25.0), F.lit(22.0), "reference")
+    return p.select("id", F.round(limits["budget"], 6).alias("budget"), F.round(limits["most"], 6).alias("most"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         work_lists, checked_states, rerolled_chunks, discarded_sound, retexted_headings, refreshed_forms, mood_changes, default_mood_changes, rendering_rounds, part_cuts,
-        reconfigured_projects, recorded_variants, longest_references, first_findings, track_lengths, text_suffixes, wrapped_options, missing_files,
+        reconfigured_projects, recorded_variants, longest_references, first_findings, track_lengths, text_suffixes, wrapped_options, missing_files, lexicon_changes, chunk_limit_report,
     )
 }
 
@@ -267,6 +283,13 @@ SELECT chunk_id, CASE WHEN e IN ('wav', 'flac', 'ogg', 'mp3', 'm4a') THEN '.' ||
 WITH k AS (SELECT variant_id, len(list_filter(map_keys(grid_options), lambda x: starts_with(x, 'ema_model.'))) = 0 AS needed, grid_options AS o FROM variants WHERE grid_options IS NOT NULL),
 e AS (SELECT variant_id, needed, unnest(map_keys(o)) AS key, unnest(map_values(o)) AS value FROM k)
 SELECT variant_id, needed, 'ema_model.' || key AS key, value FROM e UNION ALL SELECT variant_id, needed, 'initted', 1.0 FROM k UNION ALL SELECT variant_id, needed, 'step', 0.0 FROM k""",
+    "lexicon_changes": """
+WITH v AS (SELECT name AS word, round(duration_s, 3) AS spoken, duration_s FROM voices WHERE lage = 'neutral')
+SELECT CASE WHEN duration_s >= 8 THEN word || ' (neu)' ELSE word END AS word, spoken FROM v WHERE duration_s >= 6 OR duration_s IS NULL""",
+    "chunk_limit_report": """
+WITH v AS (SELECT name AS voice, max(duration_s) AS r FROM voices WHERE lage = 'neutral' GROUP BY 1), p AS (SELECT id, coalesce(target_chunk_seconds, 20) AS t, r FROM projects LEFT JOIN v USING (voice)),
+b AS (SELECT *, greatest(4.0, least(t, 22.0 - least(coalesce(r, 0), 12.0))) AS budget FROM p)
+SELECT id, round(budget, 6) AS budget, round(CASE WHEN budget < t THEN budget ELSE 25.0 END, 6) AS most FROM b""",
     "missing_files": """
 SELECT name, array_to_string(list_filter(['neutral', 'ernst', 'heiter', 'traurig'], lambda x: NOT list_contains(list(lage), x)), ',') AS missing FROM voices GROUP BY name""",
 }

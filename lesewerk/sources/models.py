@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,19 @@ def hash_embedding(size: int = 16) -> Model:
     return lambda b: pd.DataFrame({"id": b["id"], "vector": [vector(t) for t in b["text"]]})
 
 
+@register("spectrum-embedding")
+def spectrum_embedding(bands: int = 64) -> Model:
+    """A vector of a recording's spectrum: logarithms of the mean magnitudes of equal bands. (id, samples) -> (id, vector)."""
+
+    def vector(samples) -> list[float] | None:
+        if samples is None:
+            return None
+        size = np.abs(np.fft.rfft(np.asarray(samples, dtype=np.float64))) if len(samples) else np.zeros(1)
+        return [float(np.log1p(part.mean())) if len(part) else 0.0 for part in np.array_split(size, bands)]
+
+    return lambda b: pd.DataFrame({"id": b["id"], "vector": [vector(s) for s in b["samples"]]})
+
+
 def lufs_gain(loudness: Column, peak: Column, target: float = -16.0, ceiling: float = -1.0) -> Column:
     """Gain in dB to a wanted loudness that keeps the peak below the ceiling; null loudness is left alone (gain 0)."""
     return F.when(loudness.isNull(), 0.0).otherwise(F.least(F.lit(target) - loudness, F.lit(ceiling) - peak))

@@ -141,6 +141,94 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
     return head + body
 
 
+def _wav_head(data: bytes) -> tuple:
+    at, rate, channels, bits, frames = 12, None, None, None, None
+    while at + 8 <= len(data) and frames is None:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"fmt ":
+            _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+        elif name == b"data" and channels and bits:
+            frames = size // (channels * bits // 8)
+        at += 8 + size + size % 2
+    return rate, channels, bits, frames
+
+
+def _flac_head(data: bytes) -> tuple:
+    packed = int.from_bytes(data[18:26], "big")  # of the stream's first block
+    return packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1 or None
+
+
+def _ogg_head(data: bytes) -> tuple:
+    kind = data.find(b"\x01vorbis", 0, 200)
+    if kind >= 0:
+        channels, rate = data[kind + 11], struct.unpack_from("<I", data, kind + 12)[0]
+    elif (kind := data.find(b"OpusHead", 0, 200)) >= 0:
+        channels, rate = data[kind + 9], 48000
+    else:
+        return None, None, None, None
+    last = data.rfind(b"OggS")
+    return rate, channels, None, struct.unpack_from("<q", data, last + 6)[0]
+
+
+#: MPEG audio, version 1 and 2 of layer III: bit rates in kbit/s and sample rates, by their index.
+_MPEG_BITS = {1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+_MPEG_RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000)}
+
+
+def _mp3_head(data: bytes) -> tuple:
+    at = 0
+    if data[:3] == b"ID3" and len(data) > 9:
+        at = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
+    while at + 4 <= len(data) and not (data[at] == 0xFF and data[at + 1] & 0xE6 == 0xE2):
+        at += 1
+    if at + 4 > len(data):
+        return None, None, None, None
+    version = 1 if data[at + 1] & 8 else 2
+    bits, place = data[at + 2] >> 4, data[at + 2] >> 2 & 3
+    if not 0 < bits < 15 or place > 2:
+        return None, None, None, None
+    rate, channels = _MPEG_RATES[version][place], 1 if data[at + 3] >> 6 == 3 else 2
+    tag = at + 4 + (17 if channels == 1 else 32) // (1 if version == 1 else 2) + (version == 2 and channels == 2)
+    if data[tag : tag + 4] in (b"Xing", b"Info") and data[tag + 7] & 1:  # the number of frames is written down
+        return rate, channels, None, int.from_bytes(data[tag + 8 : tag + 12], "big") * (1152 if version == 1 else 576)
+    return rate, channels, None, int((len(data) - at) * 8 / (_MPEG_BITS[version][bits] * 1000) * rate)
+
+
+def _m4a_head(data: bytes) -> tuple:
+    at = data.find(b"mdhd")
+    if at < 0:
+        return None, None, None, None
+    long = data[at + 4] == 1
+    rate, length = struct.unpack_from(">IQ" if long else ">II", data, at + (24 if long else 16))
+    return rate, None, None, length
+
+
+_HEADS = {b"RIFF": _wav_head, b"fLaC": _flac_head, b"OggS": _ogg_head}
+
+
+def recording_head(data: bytes) -> tuple[int | None, int | None, int | None, float | None]:
+    """(rate, channels, bits, seconds) from the headers of a WAV, FLAC, Ogg, MP3 or M4A file; nothing is decoded. Nulls for what the header
+    doesn't say or what isn't a recording."""
+    read = _HEADS.get(bytes(data[:4])) or (_m4a_head if data[4:8] == b"ftyp" else _mp3_head)
+    try:
+        rate, channels, bits, frames = read(data)
+    except (IndexError, struct.error):
+        return None, None, None, None
+    return rate, channels, bits, frames / rate if rate and frames is not None else None
+
+
+def describe_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, rate, channels, bits, seconds) of the recordings of a folder, by the suffixes of ``AUDIO``, sorted by path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(AUDIO) + "}").load(path).select("path", "length", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, n, *recording_head(data)) for p, n, data in zip(batch["path"], batch["length"], batch["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "bytes", "rate", "channels", "bits", "seconds"]).astype({"rate": "Int32", "channels": "Int32", "bits": "Int32"})
+
+    return files.mapInPandas(run, "path string, bytes bigint, rate int, channels int, bits int, seconds double").orderBy("path")
+
+
 def read_recordings(spark: SparkSession, path: str, levels_only: bool = True) -> DataFrame:
     """(path, rate, channels, seconds, peak_dbfs, levels or samples) of the WAV files of a folder, decoded in Arrow batches."""
     from lesewerk.operators.signal import levels

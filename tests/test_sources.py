@@ -58,3 +58,28 @@ def test_streams(spark, tmp_path, sf_dir):
     stream = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "in"))
     progress.run_once(progress.state_counts(stream, "3650 days"), "counts", str(tmp_path / "cp"))
     assert spark.table("counts").agg({"n": "sum"}).first()[0] == chunks.where("saved_at is not null").count()
+
+
+def test_heads_of_recordings(spark, tmp_path):
+    import struct
+
+    from lesewerk.sources import tables as t
+
+    flac = b"fLaC" + b"\x80\x00\x00\x22" + bytes(10) + ((44100 << 44) | (1 << 41) | (15 << 36) | 88200).to_bytes(8, "big") + bytes(16)
+    ogg = b"OggS" + bytes(2) + struct.pack("<q", 0) + bytes(14) + b"\x01vorbis" + bytes(4) + b"\x02" + struct.pack("<I", 22050) + b"OggS" + bytes(2) + struct.pack("<q", 44100) + bytes(12)
+    mp3 = b"\xff\xfb\x90\x00" + bytes(15996)  # 128 kbit/s, 44.1 kHz, stereo
+    m4a = bytes(4) + b"ftypM4A " + b"mdhd" + bytes(4) + bytes(8) + struct.pack(">II", 48000, 96000)
+    wav = t.encode_wav(np.zeros(12000), 24000)
+    for name, data in (("a.flac", flac), ("b.ogg", ogg), ("c.mp3", mp3), ("d.m4a", m4a), ("e.wav", wav), ("f.wav", b"RIFF"), ("g.mp3", b"\0"), ("note.txt", b"x")):
+        (tmp_path / name).write_bytes(data)
+    got = [(r.rate, r.channels, r.seconds) for r in t.describe_recordings(spark, str(tmp_path)).collect()]
+    assert got == [(44100, 2, 2.0), (22050, 2, 2.0), (44100, 2, pytest.approx(1.0, abs=0.01)), (48000, None, 2.0), (24000, 1, 0.5), (None, None, None), (None, None, None)]
+
+
+def test_spectrum_embedding(spark):
+    from lesewerk.sources import models
+
+    tone = lambda f: np.sin(2 * np.pi * f * np.arange(2400) / 24000).astype(float).tolist()
+    df = spark.createDataFrame([(1, tone(200)), (2, tone(200)), (3, tone(5000)), (4, []), (5, None)], "id int, samples array<double>")
+    got = {r.id: r.vector for r in models.apply_model(df, "spectrum-embedding", "id int, vector array<double>").collect()}
+    assert got[1] == got[2] != got[3] and len(got[1]) == 64 and set(got[4]) == {0.0} and got[5] is None
